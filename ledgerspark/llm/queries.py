@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.llm.bpe import encode_decode
 from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
 
@@ -15,8 +16,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_credentials(documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return encode_decode(documents(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan,)}
+    return {f.__name__: f for f in (op1_secret_scan, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
