@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerspark.llm.bpe import encode_decode
 from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
+from ledgerspark.llm.language import fit, held_out, identify, train_rows
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit(train_rows(docs)))
+    return found.select(found["doc_id"].cast("long"), held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op7_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op7_bpe, op8_language)}
 
 
 def oracle_sql() -> dict[str, str]:
