@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerspark.llm.bpe import encode_decode
 from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
+from ledgerspark.llm.decontaminate import decontaminate, digests
 from ledgerspark.llm.fingerprints import with_edits
 from ledgerspark.llm.language import fit, held_out, identify, train_rows
 
@@ -18,6 +19,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_credentials(documents(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return digests(decontaminate(documents(spark, sf_dir).select("doc_id", "text"), benchmark))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return with_edits(documents(spark, sf_dir))
@@ -42,7 +49,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_fingerprint, op7_bpe, op8_language)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op7_bpe, op8_language)}
 
 
 def oracle_sql() -> dict[str, str]:
