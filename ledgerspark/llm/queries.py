@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerspark.llm import lm_scoring
 from ledgerspark.llm.bpe import encode_decode
 from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
@@ -48,8 +50,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found["doc_id"].cast("long"), held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = lm_scoring.train(docs.where(~lm_scoring.held_out()))
+    return lm_scoring.score(docs, model).withColumns({"held_out": lm_scoring.held_out(), "train_tokens": F.lit(model.tokens).cast("long")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op7_bpe, op8_language)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op7_bpe, op8_language, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
