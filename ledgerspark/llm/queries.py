@@ -13,6 +13,7 @@ from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
 from ledgerspark.llm.decontaminate import decontaminate, digests
 from ledgerspark.llm.fingerprints import with_edits
+from ledgerspark.llm.jaccard_join import jaccard_components
 from ledgerspark.llm.language import fit, held_out, identify, train_rows
 
 
@@ -32,6 +33,11 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -58,7 +64,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op7_bpe, op8_language, op9_lm_score)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
