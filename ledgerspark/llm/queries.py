@@ -15,6 +15,7 @@ from ledgerspark.llm.decontaminate import decontaminate, digests
 from ledgerspark.llm.fingerprints import with_edits
 from ledgerspark.llm.jaccard_join import jaccard_components
 from ledgerspark.llm.language import fit, held_out, identify, train_rows
+from ledgerspark.llm.line_dedup import dedup_lines
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,13 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, model).withColumns({"held_out": lm_scoring.held_out(), "train_tokens": F.lit(model.tokens).cast("long")})
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("doc_id").cast("long"), "n_lines", "n_removed", "emptied", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
