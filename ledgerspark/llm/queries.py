@@ -16,6 +16,7 @@ from ledgerspark.llm.fingerprints import with_edits
 from ledgerspark.llm.jaccard_join import jaccard_components
 from ledgerspark.llm.language import fit, held_out, identify, train_rows
 from ledgerspark.llm.line_dedup import dedup_lines
+from ledgerspark.llm.pii import replace_entities
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(documents(spark, sf_dir))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
@@ -70,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op5_pii_surrogates, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
