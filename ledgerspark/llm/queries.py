@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import lm_scoring
+from ledgerspark.llm import lm_scoring, quality
 from ledgerspark.llm.bpe import encode_decode
 from ledgerspark.llm.common import bounded_batches, documents
 from ledgerspark.llm.credentials import find_credentials
@@ -30,6 +30,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decontaminate(documents(spark, sf_dir).select("doc_id", "text"), benchmark))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return with_edits(documents(spark, sf_dir))
@@ -75,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_fingerprint, op5_pii_surrogates, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op4_fingerprint, op5_pii_surrogates, op6_jaccard_join, op7_bpe, op8_language, op9_lm_score, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
