@@ -342,7 +342,7 @@ def score_texts(model: Model, texts: list[bytes | None]) -> dict[str, np.ndarray
         counts[there], cont[there] = model.of_words("count", known[there]), model.of_words("cont", known[there])
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
     uniform = 1 / (model.types + 1)
-    lower = (_less(cont, model.low) / model.bigrams if model.bigrams else 0.0) + model.gamma * uniform
+    lower = _less(cont, model.low) / max(model.bigrams, 1) + model.gamma * uniform
     prob = lower[back]
     if model.tokens:
         begin = model.numbers(np.array([BEGIN]))[0]
