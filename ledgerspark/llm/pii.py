@@ -9,7 +9,8 @@ account numbers, titled names) are replaced by keyed surrogates of the same type
   stay different; case and separators are copied.
 * Octets of addresses are shifted alike, modulo 256. A card number keeps its check-sum residue,
   a phone number its first digit after the plus, a mail address its top-level domain.
-* A name keeps its title and its last letters, which carry the gender.
+* A name keeps its title and each part's last letter, which carry the gender; parts move on their own, so that a
+  surname alone and with a first name stay the same.
 
 Equal entities, also in other case or with other separators, get equal surrogates (coreference).
 Collision checks over all distinct entities find surrogates that equal an entity of the corpus, or
@@ -114,9 +115,11 @@ def surrogate(entity: Column, kind: Column, tweak: Column, key: str = KEY) -> Co
     bare = F.concat(F.regexp_replace(card, "[^0-9]", ""), F.lit("0"))
     fixed_card = F.concat(card, F.pmod(_luhn(digits) - _luhn(bare), F.lit(10)).cast("string"))
     head = F.when(kind == "phone", F.regexp_extract(entity, r"^\+?[0-9]?", 0)).when(kind == "account", F.substring(entity, 1, 2)).when(kind == "name", F.regexp_extract(entity, rf"^{_TITLE}\.? ", 0)).otherwise(F.lit(""))
-    tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[A-Za-z]{2,}$", 0)).when(kind == "name", F.regexp_extract(entity, r"\p{L}$", 0)).otherwise(F.lit(""))
+    tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
     middle = F.substring(entity, F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))
     rest = F.concat(head, _letters(middle, kind, tweak, key), tail)
+    parts = F.transform(F.split(middle, " "), lambda w: F.concat(_letters(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("name"), tweak, key), F.right(w, F.lit(1))))
+    rest = F.when(kind == "name", F.concat(head, F.array_join(parts, " "))).otherwise(rest)
     return F.when(kind == "ip", _octets(entity, tweak, key)).when(kind == "card", fixed_card).otherwise(rest)
 
 
