@@ -31,7 +31,7 @@ CENTROIDS = 4
 #: Texts that the centroids are fitted on, over all languages.
 SAMPLE = 4000
 #: The floor of a length: this part of the sample's low quantile, and never above CEILING.
-MARGIN, CEILING, LOWEST_SHARE, BINS = 0.3, 0.12, 0.01, 24
+MARGIN, CEILING, LOWEST_SHARE, BINS = 0.4, 0.2, 0.01, 24
 UNKNOWN = "und"
 
 _LETTER = np.arange(256, dtype=np.uint8)
