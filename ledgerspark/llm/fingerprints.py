@@ -67,7 +67,7 @@ def sketches(texts: list[bytes], scale: int = SCALE) -> list[Sketch]:
     words, offsets = words_of(texts, SOLID)
     hashes, at = shingles_of(words, offsets, SHINGLE)
     hashes = mix(hashes + np.uint64(1))
-    limit = np.uint64((1 << 64) // scale)
+    limit = np.uint64(((1 << 64) - 1) // scale)
     out = []
     for i in range(len(texts)):
         own = hashes[at[i] : at[i + 1]]
