@@ -1,14 +1,14 @@
 """Line dedup by winnowing, with DataFrame operations alone.
 
-A line ends at a line break or after a sentence's end and a space. Each text's line hashes give
+A line ends at a line break or at the space after a sentence's end. Each text's line hashes give
 shingles of two lines; the minimum of every window of shingles is a fingerprint, so that any
 run of WINDOW + 1 lines that two texts share has a fingerprint in common. Fingerprints are
 joined with their first position (by doc_id, line); a match gives a diagonal of two texts, along which
-equal lines are extended both ways into runs. Runs of ``min_words`` words or more are deleted
-from the later place.
+equal lines are extended both ways into runs. Runs of ``min_bytes`` bytes or more (150 are some 25
+words) are deleted from the later place.
 
 Equal texts are one class before anything is dealt: only the first text of a class is
-fingerprinted, and its later copies are deleted whole if they have min_words words. A
+fingerprinted, and its later copies are deleted whole if they have min_bytes bytes. A
 fingerprint's first position is a minimum with partial aggregation, and matches meet it in a
 join that AQE can split, so a passage that many texts share is never gathered.
 
@@ -19,33 +19,33 @@ keeps its first lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import written
 
-WINDOW, MIN_WORDS = 2, 25
-LINES = r"(?<=\n)|(?<=[.!?]\x20)"
+WINDOW, MIN_BYTES = 2, 150
+#: What lines end with; as places between characters, the end belongs to its line.
+ENDS, AFTER_ENDS = r"\n|(?<=[.!?])\x20", r"(?<=\n)|(?<=[.!?]\x20)"
 _LAST = (1 << 63) - 1
-_RUN = "struct<a:int,b:int>"
 
 
 def lines_of(text: Column) -> Column:
-    """Lines with what ends them; joined they are the text again."""
-    return F.split(text, LINES)
+    """Lines without what ends them."""
+    return F.split(text, ENDS, -1)
 
 
-def _words(line: Column) -> Column:
-    bare = F.trim(F.translate(line, "\n\t\r", "   "))
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 1)
+def ended_lines(text: Column) -> Column:
+    """The same lines with what ends them; joined they are the text again."""
+    return F.split(text, AFTER_ENDS, -1)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """The first document of each distinct text: t1, t2 (its key), doc_id, h (line hashes), w (line words)."""
+    """The first document of each distinct text: t1, t2 (its key), doc_id, h (line hashes), w (line bytes)."""
     lined = docs.where("text is not null and text <> ''").select(
         F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), lines_of(F.col("text")).alias("lines")
     )
-    hashed = lined.select("doc_id", "t1", "t2", F.transform("lines", lambda x: F.xxhash64(F.trim(F.translate(x, "\n\t\r", "   ")))).alias("h"), F.transform("lines", _words).alias("w"))
+    hashed = lined.select("doc_id", "t1", "t2", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("w"))
     return hashed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "h", "w")).alias("one")).select("t1", "t2", "one.*")
 
 
@@ -63,26 +63,14 @@ def _fingerprints(classes: DataFrame, window: int) -> DataFrame:
     return some.select("doc_id", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), least))).alias("pos")).select(F.get("k", F.col("pos")).alias("fp"), "doc_id", "pos")
 
 
-def _runs(min_words: int) -> Column:
-    """Runs a..b of lines that are equal along the diagonal, with enough words."""
-    seq = F.sequence(F.lit(0), F.size("h"))  # one step beyond the end closes the last run
-    start = F.struct(F.lit(-1).alias("a"), F.lit(0).alias("words"), F.expr(f"cast(array() as array<{_RUN}>)").alias("out"))
+def _equal_lines() -> Column:
+    """Lines (number, bytes) that are equal along the diagonal."""
+    low, high = F.greatest(F.col("diag"), F.lit(0)), F.least(F.size("h"), F.size("h0") + F.col("diag")) - 1
+    equal = F.filter(F.sequence(low, high), lambda i: F.get("h", i) == F.get("h0", i - F.col("diag")))
+    return F.transform(equal, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("size")))
 
-    def step(s: Column, i: Column) -> Column:
-        same = F.coalesce((i >= F.col("diag")) & (F.get("h", i) == F.get("h0", F.greatest(i - F.col("diag"), F.lit(0)))), F.lit(False))
-        opened = s["a"] >= 0
-        closes = ~same & opened & (s["words"] >= min_words)
-        run = F.array(F.struct(s["a"].alias("a"), (i - 1).alias("b")))
-        return F.struct(
-            F.when(same, F.when(opened, s["a"]).otherwise(i)).otherwise(F.lit(-1)).alias("a"),
-            F.when(same, s["words"] + F.get("w", i)).otherwise(F.lit(0)).alias("words"),
-            F.when(closes, F.concat(s["out"], run)).otherwise(s["out"]).alias("out"),
-        )
 
-    return F.aggregate(seq, start, step, lambda s: s["out"])
-
-
-def repeated_runs(classes: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(classes: DataFrame, window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id and runs (array of a..b) of lines that an earlier place has already."""
     prints = _fingerprints(classes, window)
     firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.doc_id").alias("doc0"), F.col("first.pos").alias("pos0"))
@@ -90,30 +78,38 @@ def repeated_runs(classes: DataFrame, window: int = WINDOW, min_words: int = MIN
     diagonals = met.select("doc_id", "doc0", (F.col("pos") - F.col("pos0")).alias("diag")).distinct()
     sets = classes.select("doc_id", "h", "w")
     both = diagonals.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("doc0"), F.col("h").alias("h0")), "doc0")
-    found = both.select("doc_id", _runs(min_words).alias("runs")).where(F.size("runs") > 0)
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))  # a text's own runs
-
-
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    lines = both.select("doc_id", "doc0", "diag", F.posexplode(_equal_lines()).alias("i", "line"))
+    run = lines.groupBy("doc_id", "doc0", "diag", (F.col("line.at") - F.col("i")).alias("run")).agg(F.min("line.at").alias("a"), F.max("line.at").alias("b"), F.sum("line.size").alias("size"))
+    runs = run.where(F.col("size") >= min_bytes).select("doc_id", "a", "b").distinct()
+    # Overlapping runs of a text become one.
+    reach = F.max("b").over(Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("a")).cast("int"))
+    part = opened.withColumn("part", F.sum("new").over(Window.partitionBy("doc_id").orderBy("a", "b")))
+    merged = part.groupBy("doc_id", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text cut, and n_lines, n_removed (lines), emptied (nothing is left of a text that had something)."""
     spark = docs.sparkSession
     classes = written(_classes(docs), spark)
-    runs = repeated_runs(classes, window, min_words)
+    runs = repeated_runs(classes, window, min_bytes)
     total = F.aggregate("w", F.lit(0), lambda a, x: a + x)
-    plan = classes.select("t1", "t2", F.col("doc_id").alias("__first"), (total >= min_words).alias("__long")).join(runs.withColumnRenamed("doc_id", "__first").withColumnRenamed("runs", "__runs"), "__first", "left")
+    plan = classes.select("t1", "t2", F.col("doc_id").alias("__first"), F.size("h").alias("__lines"), (total >= min_bytes).alias("__long")).join(runs.withColumnRenamed("doc_id", "__first").withColumnRenamed("runs", "__runs"), "__first", "left")
     own = docs.columns
     keyed = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), F.col("text"))})
     joined = keyed.join(plan.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left")
     later = F.coalesce((F.coalesce("doc_id", F.lit(_LAST)) != F.col("__first")) & F.col("__long"), F.lit(False))
-    lines = lines_of(F.coalesce("text", F.lit("")))
-    kept = F.filter(lines, lambda _, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
+    whole = F.coalesce("text", F.lit(""))
+    kept = F.filter(ended_lines(whole), lambda _, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
     cut = F.col("__runs").isNotNull() & ~later
     text = F.when(later, F.lit("")).when(cut, F.array_join(kept, "")).otherwise(F.col("text"))
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
-    left = F.when(later, 0).when(cut, F.size(kept)).otherwise(n_lines).cast("long")
+    n_lines = F.when(whole == "", 0).otherwise(F.coalesce("__lines", F.lit(0))).cast("long")
+    gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + r["b"] - r["a"] + 1)
+    left = F.when(later, 0).when(cut, n_lines - gone).otherwise(n_lines).cast("long")
     out = joined.withColumns({"__cut": text, "__n": n_lines, "__left": left})
     return out.select(
         *[F.col("__cut").alias("text") if c == "text" else F.col(c) for c in own],
         F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__left")).alias("n_removed"),
-        ((F.trim(F.translate(F.coalesce("__cut", F.lit("")), "\n\t\r", "   ")) == "") & (F.col("__n") > F.col("__left"))).alias("emptied"),
+        (~F.coalesce(F.col("__cut"), F.lit("")).rlike(r"\S") & (F.col("__n") > F.col("__left"))).alias("emptied"),
     )
