@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import periods
-from ledgerspark.functions.amounts import money, sums, total_of
+from ledgerspark.functions.amounts import cents, sums, total_of
 from ledgerspark.sources.tables import MISSING_CATEGORY
 
 By = Sequence[str]
@@ -38,8 +38,8 @@ def day_groups(tx: DataFrame, n: int, by: By = ()) -> DataFrame:
     days = daily_totals(tx, by)  # one row a day, so the numbering below is small
     order = Window.partitionBy(*by).orderBy("period")
     numbered = days.withColumn("group_idx", (F.floor((F.row_number().over(order) - 1) / n) + 1).cast("bigint"))
-    cents = [F.sum(money(F.col(c))).cast("double").alias(c) for c in ("income", "expense", "total")]
-    return numbered.groupBy(*by, "group_idx").agg(*cents).withColumn("period", F.concat(F.lit("Group "), F.col("group_idx").cast("string")))
+    whole = [total_of(F.col(c)).alias(c) for c in ("income", "expense", "total")]
+    return numbered.groupBy(*by, "group_idx").agg(*whole).withColumn("period", F.concat(F.lit("Group "), F.col("group_idx").cast("string")))
 
 
 def monthly_totals(tx: DataFrame, by: By = ()) -> DataFrame:
@@ -117,7 +117,7 @@ def annual_income(tx: DataFrame, year: int, by: By = ()) -> DataFrame:
 def category_drift(tx: DataFrame, split: str, by: By = ()) -> DataFrame:
     """Change in percent of each category's magnitude from before `split` to after, where there was some before."""
     after = F.col("ts") >= F.lit(split).cast("timestamp_ntz")
-    p = money(F.abs(F.col("price")))
+    p = cents(F.abs(F.col("price")))
     sides = tx.groupBy(*by, "category").agg(F.sum(F.when(~after, p)).alias("prev"), F.sum(F.when(after, p)).alias("cur"))
     change = (F.col("cur").cast("double") - F.col("prev").cast("double")) / F.col("prev").cast("double") * 100
     return sides.where("prev > 0 and cur is not null").select(*by, "category", F.round(change, 6).alias("change_pct"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import finance, periods
-from ledgerspark.functions.amounts import expense, money, total_of
+from ledgerspark.functions.amounts import cents, expense, total_of, units
 from ledgerspark.sources.tables import OVERALL
 
 
@@ -40,9 +40,9 @@ def spend_in_period(budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
 
 def spend_by_scope(tx: DataFrame) -> DataFrame:
     """All-time expense by user and category, and by user in all, in one pass."""
-    sums = tx.where("price < 0").groupBy("user_id", "category").agg(F.sum(-money(F.col("price"))).alias("s"))
+    sums = tx.where("price < 0").groupBy("user_id", "category").agg(F.sum(-cents(F.col("price"))).alias("s"))
     whole = sums.groupBy("user_id").agg(F.sum("s").alias("s")).select("user_id", F.lit(OVERALL).alias("category"), "s")
-    return sums.where(F.col("category") != OVERALL).unionByName(whole).select("user_id", "category", F.col("s").cast("double").alias("spent"))
+    return sums.where(F.col("category") != OVERALL).unionByName(whole).select("user_id", "category", units(F.col("s")).alias("spent"))
 
 
 def summary(budgets: DataFrame, tx: DataFrame) -> DataFrame:
@@ -74,13 +74,13 @@ def burn_rate(spent: Column, days: Column, remaining: Column) -> tuple[Column, C
 def recurring_impact(templates: DataFrame) -> DataFrame:
     """Monthly and yearly weight of recurring amounts: daily 30 times, weekly 4 times a month."""
     factor = F.when(F.col("recurring_frequency") == "Daily", 30).when(F.col("recurring_frequency") == "Weekly", 4).otherwise(1)
-    sums = templates.groupBy("user_id").agg(F.sum(money(F.abs("price")) * factor).cast("double").alias("monthly"))
+    sums = templates.groupBy("user_id").agg(units(F.sum(cents(F.abs("price")) * factor)).alias("monthly"))
     return sums.select("user_id", "monthly", F.round(F.col("monthly") * 12, 2).alias("yearly"))
 
 
 def daily_expense_stats(tx: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Mean and spread (population, 1 at least) of expense over days that have some."""
-    days = tx.where("price < 0").groupBy(*by, F.to_date("ts").alias("d")).agg(F.sum(expense(F.col("price"))).cast("double").alias("x"))
+    days = tx.where("price < 0").groupBy(*by, F.to_date("ts").alias("d")).agg(units(F.sum(expense(F.col("price")))).alias("x"))
     return days.groupBy(*by).agg(F.count("*").alias("days"), F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(1.0)).alias("std"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import periods
-from ledgerspark.functions.amounts import expense, income
+from ledgerspark.functions.amounts import expense, income, total_of, units
 
 
 def is_due(frequency: Column, last: Column, now: Column) -> Column:
@@ -47,11 +47,13 @@ def cashflow_forecast(templates: DataFrame, as_of: str, horizon_days: int, by: t
     first = F.when(step.isNull(), F.lit(0)).otherwise(F.greatest(F.ceil((now - start) / width), F.lit(0))).cast("bigint")
     last = F.when(step.isNull(), F.lit(0)).otherwise(F.floor((now + horizon_days * day - start) / width)).cast("bigint")
     spans = templates.select(*by, "ts", "price", first.alias("k0"), last.alias("k1"), width.alias("w"), start.alias("s")).where("k0 <= k1")
-    runs = spans.select(*by, "price", F.explode(F.transform(F.sequence("k0", "k1"), lambda k: F.col("s") + k * F.col("w"))).alias("at"))
-    inside = runs.where((F.col("at") >= now) & (F.col("at") <= now + horizon_days * day))
+    runs = spans.select(*by, "price", "s", "w", F.explode(F.sequence("k0", "k1")).alias("k"))
+    at = F.col("s") + F.col("k") * F.col("w")
+    inside = runs.where((at >= now) & (at <= now + horizon_days * day))
     i, e = F.sum(income(F.col("price"))), F.sum(expense(F.col("price")))
-    out = inside.groupBy(*by, F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd").alias("date")).agg(i.alias("i"), e.alias("e"))
-    return out.select(*by, "date", F.col("i").cast("double").alias("income"), F.col("e").cast("double").alias("expense"), (F.col("i") - F.col("e")).cast("double").alias("net"))
+    out = inside.groupBy(*by, F.floor(at / F.lit(day)).cast("int").alias("day")).agg(i.alias("i"), e.alias("e"))
+    date = F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd")
+    return out.select(*by, date.alias("date"), units(F.col("i")).alias("income"), units(F.col("e")).alias("expense"), units(F.col("i") - F.col("e")).alias("net"))
 
 
 def expected_balance(templates: DataFrame, as_of: str, horizons: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
@@ -59,4 +61,4 @@ def expected_balance(templates: DataFrame, as_of: str, horizons: tuple[int, ...]
     days = cashflow_forecast(templates, as_of, max(horizons))
     limit = F.date_add(F.to_date(periods.at(as_of)), F.col("horizon_days"))
     each = days.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in sorted(horizons)]))).where(F.to_date("date") <= limit)
-    return each.groupBy("horizon_days").agg(F.sum(F.col("net").cast("decimal(18,2)")).cast("double").alias("expected_balance"))
+    return each.groupBy("horizon_days").agg(total_of(F.col("net")).alias("expected_balance"))
