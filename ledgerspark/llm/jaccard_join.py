@@ -43,9 +43,9 @@ from ledgerspark.llm.lm_scoring import gathered, pack, shard_of, texts_in, unpac
 from ledgerspark.llm.words import SOLID, mix, shingles_of, words_of
 
 SHINGLE, PERCENT = 5, 80
-GROUPS, LEAF, FANOUT, SMALL = 64, 32, 8, 64
+GROUPS, LEAF, FANOUT, SMALL, FEW = 64, 32, 8, 96, 8
 #: The list of frequent shingles: how many, and how often one occurs in a gathered batch to be counted. It only orders.
-FREQUENT, OFTEN = 1 << 16, 6
+FREQUENT, OFTEN = 1 << 18, 3
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -195,28 +195,37 @@ def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, ROWS)
 
 
+@lru_cache(maxsize=SMALL)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 class Linker:
-    """Links within blocks of one task: a forest over places, and pairs known to differ."""
+    """Links among one task's places: a forest over them, and pairs known to differ. Members are numbered from 0."""
 
-    def __init__(self, store: Store, percent: int) -> None:
-        self.store, self.percent = store, percent
-        self.parent: dict[int, int] = {}
+    def __init__(self, store: Store, places: np.ndarray, percent: int) -> None:
+        self.store, self.places, self.percent = store, places, percent
+        self.points = store.points(places)
+        self.sizes = self.points.sum(axis=1, dtype=np.int64)
+        self.parent = list(range(len(places)))
         self.edges: list[tuple[int, int]] = []
         self.apart: set[tuple[int, int]] = set()
 
     def root(self, x: int) -> int:
         parent = self.parent
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
         return x
 
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.root, members.tolist()), np.int64, len(members))
+
     def same(self, x: int, y: int) -> bool:
-        a, b = self.store.set_of(x), self.store.set_of(y)
-        if (min(len(a), len(b)) * 100) < self.percent * max(len(a), len(b)):
-            return False
+        a, b = self.store.set_of(int(self.places[x])), self.store.set_of(int(self.places[y]))
         return bool(enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), self.percent))
 
     def try_pair(self, x: int, y: int) -> None:
+        """Verify two members that aren't connected."""
         pair = (x, y) if x < y else (y, x)
         if pair in self.apart:
             return
@@ -228,36 +237,67 @@ class Linker:
                 self.apart.clear()
             self.apart.add(pair)
 
-    def block(self, places: np.ndarray) -> None:
-        """All links between members that aren't connected: each member outside the largest part is compared with all others."""
-        roots = np.array([self.root(p) for p in places.tolist()])
+    def bounded(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs' sizes and points allow the similarity."""
+        n, m = self.sizes[x], self.sizes[y]
+        out = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)).nonzero()[0]
+        for i in range(0, len(out), 1 << 16):
+            part = out[i : i + (1 << 16)]
+            both = np.minimum(self.points[x[part]], self.points[y[part]]).sum(axis=1, dtype=np.int64)
+            out[i : i + (1 << 16)] = np.where(enough(both, n[part], m[part], self.percent), part, -1)
+        return out[out >= 0]
+
+    def small_blocks(self, members: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> None:
+        """Blocks of up to FEW members at once; a pair that several blocks hold is looked at once."""
+        width = len(self.places)
+        keys = []
+        for m in range(2, FEW + 1):
+            h = heads[sizes == m]
+            keys += [np.unique(members[h + i] * width + members[h + j]) for j in range(m) for i in range(j)] if len(h) else []
+        if not keys:
+            return
+        pairs = np.unique(np.concatenate(keys))
+        x, y = pairs // width, pairs % width
+        fit = self.bounded(x, y)
+        for a, b in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
+            if self.root(a) != self.root(b):
+                self.try_pair(a, b)
+
+    def block(self, members: np.ndarray) -> None:
+        """A larger block: each member outside its largest connected part is searched for in an R-tree of all others."""
+        roots = self.roots(members)
         if (roots == roots[0]).all():
             return
-        if len(places) == 2:
-            self.try_pair(int(places[0]), int(places[1]))
+        if len(members) <= SMALL:  # one leaf: all points are bounded against each other at once
+            i, j = _triangle(len(members))
+            apart = np.flatnonzero(roots[i] != roots[j])
+            x, y = members[i[apart]], members[j[apart]]
+            fit = self.bounded(x, y)
+            for a, b in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
+                if self.root(a) != self.root(b):
+                    self.try_pair(a, b)
             return
-        points = self.store.points(places)
-        tree = CountVectorRTree(points, self.percent) if len(places) > SMALL else None
-        sizes = points.sum(axis=1, dtype=np.int64)
-        done = np.zeros(len(places), bool)
+        points = self.points[members]
+        tree = CountVectorRTree(points, self.percent)
+        done = np.zeros(len(members), bool)
         while True:
             values, index, n = np.unique(roots, return_inverse=True, return_counts=True)
             if len(values) == 1:
                 return
             left = np.flatnonzero((index != int(np.argmax(n))) & ~done) if n.max() > 1 else np.flatnonzero(~done)
-            if len(left) < 1:
-                return
-            h = int(left[0])
-            done[h] = True
-            if tree is not None:
+            for h in left.tolist():
+                done[h] = True
                 near = tree.search(points[h])
+                near = near[(roots[near] != roots[h]) & ~done[near]]
+                before = len(self.edges)
+                for y in near.tolist():
+                    if self.root(int(members[y])) != self.root(int(members[h])):
+                        self.try_pair(int(members[h]), int(members[y]))
+                if len(self.edges) > before:
+                    break
             else:
-                near = np.flatnonzero(enough(np.minimum(points, points[h]).sum(axis=1, dtype=np.int64), int(sizes[h]), sizes, self.percent))
-            for y in near[(roots[near] != roots[h]) & ~done[near]].tolist():
-                if self.root(int(places[y])) != self.root(int(places[h])):
-                    self.try_pair(int(places[h]), int(places[y]))
-            if len(near):
-                roots = np.array([self.root(p) for p in places.tolist()])
+                return
+            roots = self.roots(members)
 
 
 def link_classes(classes: DataFrame, folder: str, percent: int) -> DataFrame:
@@ -284,10 +324,15 @@ def link_classes(classes: DataFrame, folder: str, percent: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         size = np.diff(np.append(first, len(tokens)))
         store = Store(folder)
-        linker = Linker(store, percent)
-        for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            linker.block(places[a : a + n])
-        ends = np.array(linker.edges, dtype=np.int64).reshape(-1, 2)
+        shared = np.repeat(size > 1, size)
+        distinct, members = np.unique(places[shared], return_inverse=True)
+        size = size[size > 1]
+        heads = np.cumsum(size) - size
+        linker = Linker(store, distinct, percent)
+        linker.small_blocks(members, heads, np.where(size <= FEW, size, 0))
+        for a, n in zip(heads[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            linker.block(members[a : a + n])
+        ends = distinct[np.array(linker.edges, dtype=np.int64).reshape(-1, 2)] if linker.edges else np.empty((0, 2), np.int64)
         return pa.table({"u": pa.array(store.ids(ends[:, 0])), "v": pa.array(store.ids(ends[:, 1]))})
 
     dealt = classes.select("place", "prefix").mapInArrow(deal, "shard int, tokens binary, places binary")
