@@ -38,16 +38,16 @@ ABUSE = (
     "bastard bastards bitch bitches asshole assholes fuck fucking fucked shit shitty cunt whore slut retard retarded vermin"
 ).split()
 _ABUSE = frozenset(ABUSE)
-_WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = "#$%&*|<>{}[]\\^~=+@"
 
 
 @dataclass
 class Facts:
-    """Counts of one whole text that the labellers look at."""
+    """Counts of one whole text that the labellers look at, and its distinct tokens' traits with their numbers."""
 
     chars: int
-    tokens: Counter = field(default_factory=Counter)
+    traits: list[tuple[int, int, int, int]] = field(default_factory=list)
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
     upper: int = 0
     letters: int = 0
@@ -56,32 +56,39 @@ class Facts:
     abuse: int = 0
     lines: int = 0
     repeated_lines: int = 0
-    long_tokens: int = 0
 
 
 _END = re.compile(r"[.!?][\"')]*$")
+_UPPER, _LETTERS, _SYMBOL, _ENDS, _ABUSIVE = 1, 2, 4, 8, 16
+_known: dict[str, tuple[int, int, int, int]] = {}
+CACHE = 400_000
+
+
+def _traits(token: str) -> tuple[int, int, int, int]:
+    """Flags of a token, and its hashed features: word and shape, and word in the larger space."""
+    core = token.strip(".,;:!?\"'()")
+    low = core.lower()
+    bits = _UPPER * (core.isupper() and len(core) > 1) + _LETTERS * core.isalpha() + _SYMBOL * any(s in token for s in _SYMBOLS) + _ENDS * bool(_END.search(token)) + _ABUSIVE * (low in _ABUSE)
+    shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))[:12]
+    half = 1 << (BITS - 1)
+    bare = token.strip(".,;:!?\"'()#$%&*|").lower()
+    return bits, zlib.crc32(low.encode()) % half, half + zlib.crc32(shape.encode()) % half, zlib.crc32(bare.encode()) >> (32 - WORD_BITS)
 
 
 def facts_of(text: str) -> Facts:
     c = Counter(text.split())
-    f = Facts(len(text), c, sum(c.values()))
-    for t, n in c.items():
-        core = t.strip(".,;:!?\"'()")
-        if core.isupper() and len(core) > 1:
-            f.upper += n
-        if core.isalpha():
-            f.letters += n
-        if any(s in t for s in _SYMBOLS):
-            f.symbols += n
-        if _END.search(t):
-            f.ends += n
-        if len(t) > 30:
-            f.long_tokens += n
-        if core.lower() in _ABUSE:
-            f.abuse += n
+    traits = []
+    for t in c:
+        if (got := _known.get(t)) is None:
+            if len(_known) > CACHE:
+                _known.clear()
+            got = _known[t] = _traits(t)
+        traits.append(got)
+    counts = np.fromiter(c.values(), np.int64, len(c))
+    bits = np.fromiter((x[0] for x in traits), np.int64, len(c))
+    upper, letters, symbols, ends, abuse = (int(counts[(bits & k) > 0].sum()) for k in (_UPPER, _LETTERS, _SYMBOL, _ENDS, _ABUSIVE))
     lines = [x for x in text.split("\n") if x.strip()]
-    f.lines, f.repeated_lines = len(lines), len(lines) - len(set(lines))
-    return f
+    return Facts(len(text), traits, counts, int(counts.sum()), upper, letters, symbols, ends, abuse, len(lines), len(lines) - len(set(lines)))
 
 
 def _between(x: float, low: float, high: float) -> int:
@@ -95,7 +102,7 @@ LABELLERS = {
     "symbols": lambda f: _between(f.symbols / f.n, 0.05, 0.2) if f.n else BAD,
     "shouting": lambda f: _between(f.upper / f.n, 0.1, 0.4) if f.n else NONE,
     "letters": lambda f: BAD if f.n and f.letters / f.n < 0.5 else GOOD if f.n and f.letters / f.n > 0.8 else NONE,
-    "repetition": lambda f: NONE if f.n < 20 else BAD if max(f.tokens.values()) / f.n > 0.3 else GOOD if max(f.tokens.values()) / f.n < 0.15 else NONE,
+    "repetition": lambda f: NONE if f.n < 20 else BAD if f.counts.max() / f.n > 0.3 else GOOD if f.counts.max() / f.n < 0.15 else NONE,
     "sentences": lambda f: NONE if f.n < 10 else GOOD if 0.02 <= f.ends / f.n <= 0.35 else BAD,
     "lines": lambda f: NONE if f.lines < 3 else _between(f.repeated_lines / f.lines, 0.1, 0.3),
     "abuse": lambda f: BAD if f.abuse else NONE,
@@ -152,29 +159,15 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> LabelModel:
     return model
 
 
-_shapes: dict[str, tuple[int, int]] = {}
-
-
-def _hashed(token: str) -> tuple[int, int]:
-    """Features of a token: its word and its shape."""
-    if (got := _shapes.get(token)) is None:
-        if len(_shapes) > 300_000:
-            _shapes.clear()
-        shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token))[:12]
-        half = 1 << (BITS - 1)
-        got = _shapes[token] = zlib.crc32(token.strip(".,;:!?\"'()").lower().encode()) % half, half + zlib.crc32(shape.encode()) % half
-    return got
-
-
 def features_of(f: Facts) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their weights: shares of words and shapes, damped, of length one."""
-    at: dict[int, int] = {}
-    for t, n in f.tokens.items():
-        for k in _hashed(t):
-            at[k] = at.get(k, 0) + n
-    idx = np.fromiter(at, np.int32, len(at))
-    v = np.sqrt(np.fromiter(at.values(), float, len(at)))
-    return idx, v / np.linalg.norm(v) if len(v) else v
+    if not f.n:
+        return np.zeros(0, np.int64), np.zeros(0)
+    idx = np.fromiter((x[k] for k in (1, 2) for x in f.traits), np.int64, 2 * len(f.traits))
+    sums = np.bincount(idx, np.concatenate((f.counts, f.counts)), minlength=1 << BITS)
+    at = np.flatnonzero(sums)
+    v = np.sqrt(sums[at])
+    return at, v / np.linalg.norm(v)
 
 
 @dataclass
@@ -188,8 +181,7 @@ class Scorer:
 
 def words_in(f: Facts) -> tuple[np.ndarray, np.ndarray]:
     """Hashed distinct words, with equal weights."""
-    words = {t.strip(".,;:!?\"'()#$%&*|").lower() for t in f.tokens}
-    idx = np.unique(np.fromiter((zlib.crc32(w.encode()) >> (32 - WORD_BITS) for w in words), np.int32, len(words)))
+    idx = np.unique(np.fromiter((x[3] for x in f.traits), np.int64, len(f.traits)))
     return idx, np.ones(len(idx))
 
 
