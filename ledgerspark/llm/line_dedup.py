@@ -1,8 +1,8 @@
 """Line dedup by winnowing, with DataFrame operations alone.
 
 A line ends at a line break or at the space after a sentence's end. Each text's line hashes give
-shingles of two lines; the minimum of every window of shingles is a fingerprint, so that any
-run of WINDOW + 1 lines that two texts share has a fingerprint in common. Fingerprints are
+shingles of three lines; the minimum of every window of shingles is a fingerprint, so that any
+run of WINDOW + 2 lines that two texts share has a fingerprint in common. Fingerprints are
 joined with their first position (by doc_id, line); a match gives a diagonal of two texts, along which
 equal lines are extended both ways into runs. Runs of ``min_bytes`` bytes or more (150 are some 25
 words) are deleted from the later place.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import written
 
-WINDOW, MIN_BYTES = 2, 150
+LINES_EACH, WINDOW, MIN_BYTES = 3, 2, 150
 #: What lines end with; as places between characters, the end belongs to its line.
 ENDS, AFTER_ENDS = r"\n|(?<=[.!?])\x20", r"(?<=\n)|(?<=[.!?]\x20)"
 _LAST = (1 << 63) - 1
@@ -50,10 +50,11 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _fingerprints(classes: DataFrame, window: int) -> DataFrame:
-    """fp, doc_id, pos of each selected shingle of two lines."""
+    """fp, doc_id, pos of each selected shingle of LINES_EACH lines."""
     n = F.size("h")
-    shingles = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1)))
-    some = classes.where(n >= 2).select("doc_id", shingles.alias("k"))
+    hashes = [F.col("h")] * LINES_EACH
+    shingles = F.transform(F.sequence(F.lit(0), n - LINES_EACH), lambda i: F.xxhash64(*[F.get(h, i + j) for j, h in enumerate(hashes)]))
+    some = classes.where(n >= LINES_EACH).select("doc_id", shingles.alias("k"))
     last = F.greatest(F.size("k") - window, F.lit(0))
 
     def least(i: Column) -> Column:
@@ -74,7 +75,8 @@ def repeated_runs(classes: DataFrame, window: int = WINDOW, min_bytes: int = MIN
     """doc_id and runs (array of a..b) of lines that an earlier place has already."""
     prints = _fingerprints(classes, window)
     firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.doc_id").alias("doc0"), F.col("first.pos").alias("pos0"))
-    met = prints.join(firsts, "fp").where("doc_id <> doc0 or pos <> pos0")
+    # Written, so that both sides of the join are dealt for it alone and a frequent fingerprint's rows can be split.
+    met = prints.join(written(firsts, classes.sparkSession), "fp").where("doc_id <> doc0 or pos <> pos0")
     diagonals = met.select("doc_id", "doc0", (F.col("pos") - F.col("pos0")).alias("diag")).distinct()
     sets = classes.select("doc_id", "h", "w")
     both = diagonals.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("doc0"), F.col("h").alias("h0")), "doc0")

@@ -27,7 +27,7 @@ def test_later_runs_go_and_first_ones_stay(spark):
 
 
 def test_against_plain_runs(spark):
-    """Every run of three lines or more and enough bytes that an earlier text has is gone, but for what no run holds."""
+    """Every run of four lines or more and enough bytes that an earlier text has is gone, but for what no run holds."""
     import random
 
     rng = random.Random(6)
@@ -45,8 +45,8 @@ def test_against_plain_runs(spark):
         kept = [x for x in got[i] if x]
         assert [x for x in lines if x.startswith("Own")] == [x for x in kept if x.startswith("Own")]
         earlier = "\n" + "\n\n".join(texts[:i]) + "\n"
-        for j in range(len(lines) - 2):
-            run = "\n".join(lines[j : j + 3])
+        for j in range(len(lines) - 3):
+            run = "\n".join(lines[j : j + 4])
             if len(run) >= 150 and f"\n{run}\n" in earlier:
                 assert run not in "\n".join(got[i])
         for x in lines:
