@@ -15,16 +15,17 @@ empty table gives an empty result; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.words import ALNUM, SOLID, words_of
+
 GOOD, BAD, NONE = 1, 0, 2
 BITS, WORD_BITS = 15, 19
 #: Documents that the scorer is trained on, and labelled rows for the toxicity head.
@@ -37,58 +38,69 @@ ABUSE = (
     "idiot idiots moron morons stupid trash scum loser losers clown clowns pathetic worthless disgusting imbecile dumbass "
     "bastard bastards bitch bitches asshole assholes fuck fucking fucked shit shitty cunt whore slut retard retarded vermin"
 ).split()
-_ABUSE = frozenset(ABUSE)
 _SYMBOLS = "#$%&*|<>{}[]\\^~=+@"
 
 
 @dataclass
 class Facts:
-    """Counts of one whole text that the labellers look at, and its distinct tokens' traits with their numbers."""
+    """Counts of one whole text that the labellers look at, and the hashes of its words and token shapes."""
+
+    n: int
+    most: int  # of the most frequent word
+    upper: int
+    letters: int
+    symbols: int
+    ends: int
+    abuse: int
+    lines: int
+    repeated_lines: int
+    words: np.ndarray
+    shapes: np.ndarray
+
+
+#: Classes of bytes in a token's shape: u upper case, x other letters, 0 digits; marks stand for themselves.
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = ord("u"), ord("x"), ord("x"), ord("0")
+_CLASS[9:14] = 32
+_END = re.compile(r"[.!?][\"')]*$")
+_ABUSE = np.sort(words_of([w.encode() for w in ABUSE], ALNUM)[0])
 
-    chars: int
-    traits: list[tuple[int, int, int, int]] = field(default_factory=list)
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    n: int = 0
-    upper: int = 0
-    letters: int = 0
-    symbols: int = 0
-    ends: int = 0
-    abuse: int = 0
-    lines: int = 0
-    repeated_lines: int = 0
 
+def _shape(data: bytes) -> bytes:
+    """Token shapes of a text, runs of one class as one."""
+    x = _CLASS[np.frombuffer(data, np.uint8)]
+    return x[np.concatenate(([True], x[1:] != x[:-1]))].tobytes() if len(x) else b""
 
-_END = re.compile(r"[.!?][\"')]*$")
-_UPPER, _LETTERS, _SYMBOL, _ENDS, _ABUSIVE = 1, 2, 4, 8, 16
-_known: dict[str, tuple[int, int, int, int]] = {}
-CACHE = 400_000
-
-
-def _traits(token: str) -> tuple[int, int, int, int]:
-    """Flags of a token, and its hashed features: word and shape, and word in the larger space."""
-    core = token.strip(".,;:!?\"'()")
-    low = core.lower()
-    bits = _UPPER * (core.isupper() and len(core) > 1) + _LETTERS * core.isalpha() + _SYMBOL * any(s in token for s in _SYMBOLS) + _ENDS * bool(_END.search(token)) + _ABUSIVE * (low in _ABUSE)
-    shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))[:12]
-    half = 1 << (BITS - 1)
-    bare = token.strip(".,;:!?\"'()#$%&*|").lower()
-    return bits, zlib.crc32(low.encode()) % half, half + zlib.crc32(shape.encode()) % half, zlib.crc32(bare.encode()) >> (32 - WORD_BITS)
-
-
-def facts_of(text: str) -> Facts:
-    c = Counter(text.split())
-    traits = []
-    for t in c:
-        if (got := _known.get(t)) is None:
-            if len(_known) > CACHE:
-                _known.clear()
-            got = _known[t] = _traits(t)
-        traits.append(got)
-    counts = np.fromiter(c.values(), np.int64, len(c))
-    bits = np.fromiter((x[0] for x in traits), np.int64, len(c))
-    upper, letters, symbols, ends, abuse = (int(counts[(bits & k) > 0].sum()) for k in (_UPPER, _LETTERS, _SYMBOL, _ENDS, _ABUSIVE))
-    lines = [x for x in text.split("\n") if x.strip()]
-    return Facts(len(text), traits, counts, int(counts.sum()), upper, letters, symbols, ends, abuse, len(lines), len(lines) - len(set(lines)))
+
+def _flags(shape: bytes) -> int:
+    text = shape.decode("ascii", "replace")
+    core = text.strip(".,;:!?\"'()")
+    return (core == "u") + 2 * (core in ("x", "u", "ux")) + 4 * any(s in text for s in _SYMBOLS) + 8 * bool(_END.search(text))
+
+
+def facts_of_all(texts: list[str | None]) -> list[Facts]:
+    raws = [(t or "").encode() for t in texts]
+    shapes = [_shape(r) for r in raws]
+    distinct = sorted({x for s in shapes for x in s.split()})
+    keys = words_of(distinct, SOLID)[0]
+    order = np.argsort(keys)
+    keys, flags = keys[order], np.array([_flags(x) for x in distinct], np.int64)[order]
+    sh, so = words_of(shapes, SOLID)
+    wh, wo = words_of(raws, ALNUM)
+    own = flags[np.searchsorted(keys, sh)] if len(sh) else np.zeros(0, np.int64)
+
+    def per_text(hit: np.ndarray, offsets: np.ndarray) -> list[int]:
+        return np.diff(np.concatenate(([0], np.cumsum(hit)))[offsets]).tolist()
+
+    sums = [per_text((own & k) > 0, so) for k in (1, 2, 4, 8)]
+    abuse = per_text(_ABUSE[np.minimum(np.searchsorted(_ABUSE, wh), len(_ABUSE) - 1)] == wh, wo)
+    out = []
+    for i, t in enumerate(texts):
+        w = wh[wo[i] : wo[i + 1]]
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        most = int(np.unique(w, return_counts=True)[1].max()) if len(w) else 0
+        out.append(Facts(int(so[i + 1] - so[i]), most, *(x[i] for x in sums), abuse[i], len(lines), len(lines) - len(set(lines)), w, sh[so[i] : so[i + 1]]))
+    return out
 
 
 def _between(x: float, low: float, high: float) -> int:
@@ -102,7 +114,7 @@ LABELLERS = {
     "symbols": lambda f: _between(f.symbols / f.n, 0.05, 0.2) if f.n else BAD,
     "shouting": lambda f: _between(f.upper / f.n, 0.1, 0.4) if f.n else NONE,
     "letters": lambda f: BAD if f.n and f.letters / f.n < 0.5 else GOOD if f.n and f.letters / f.n > 0.8 else NONE,
-    "repetition": lambda f: NONE if f.n < 20 else BAD if f.counts.max() / f.n > 0.3 else GOOD if f.counts.max() / f.n < 0.15 else NONE,
+    "repetition": lambda f: NONE if f.n < 20 else BAD if f.most / f.n > 0.3 else GOOD if f.most / f.n < 0.15 else NONE,
     "sentences": lambda f: NONE if f.n < 10 else GOOD if 0.02 <= f.ends / f.n <= 0.35 else BAD,
     "lines": lambda f: NONE if f.lines < 3 else _between(f.repeated_lines / f.lines, 0.1, 0.3),
     "abuse": lambda f: BAD if f.abuse else NONE,
@@ -163,8 +175,9 @@ def features_of(f: Facts) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their weights: shares of words and shapes, damped, of length one."""
     if not f.n:
         return np.zeros(0, np.int64), np.zeros(0)
-    idx = np.fromiter((x[k] for k in (1, 2) for x in f.traits), np.int64, 2 * len(f.traits))
-    sums = np.bincount(idx, np.concatenate((f.counts, f.counts)), minlength=1 << BITS)
+    half = np.uint64(64 - (BITS - 1))
+    idx = np.concatenate((f.words >> half, (f.shapes >> half) + np.uint64(1 << (BITS - 1)))).astype(np.int64)
+    sums = np.bincount(idx, minlength=1 << BITS)
     at = np.flatnonzero(sums)
     v = np.sqrt(sums[at])
     return at, v / np.linalg.norm(v)
@@ -181,7 +194,7 @@ class Scorer:
 
 def words_in(f: Facts) -> tuple[np.ndarray, np.ndarray]:
     """Hashed distinct words, with equal weights."""
-    idx = np.unique(np.fromiter((x[3] for x in f.traits), np.int64, len(f.traits)))
+    idx = np.unique(f.words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     return idx, np.ones(len(idx))
 
 
@@ -228,7 +241,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = TOXIC_SAMPLE) ->
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words_in(facts_of(t or ""))[0] for t in batch.column(0).to_pylist()]
+            found = [words_in(f)[0] for f in facts_of_all(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in found], pa.binary()), batch.column(1)], ["at", "toxic"])
 
     chosen = chosen.withColumn("toxic", F.col("toxic").cast("int"))
@@ -246,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            seen.update(votes_of(facts_of(t or "")) for t in batch.column(0).to_pylist())
+            seen.update(map(votes_of, facts_of_all(batch.column(0).to_pylist())))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
     texts = docs.select("text")
@@ -256,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts = [facts_of(t or "") for t in batch.column(0).to_pylist()]
+            facts = facts_of_all(batch.column(0).to_pylist())
             found = [features_of(f) for f in facts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([votes_of(f) for f in facts]), pa.array([x[0].astype(np.uint16).tobytes() for x in found], pa.binary()), pa.array([x[1].astype(np.float32).tobytes() for x in found], pa.binary())],
@@ -278,8 +291,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         model, known = sent.value, {}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                f = facts_of(text or "")
+            for f in facts_of_all(batch.column(1).to_pylist()):
                 votes = votes_of(f)
                 if votes not in known:
                     known[votes] = model.labels.posterior(votes)
