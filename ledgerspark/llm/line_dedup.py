@@ -1,15 +1,14 @@
-"""Line dedup by winnowing, with DataFrame operations alone.
+"""Line dedup by shingles of min_bytes bytes, with DataFrame operations alone.
 
-A line ends at a line break or at the space after a sentence's end. Each text's line hashes give
-shingles of three lines; the minimum of every window of shingles is a fingerprint, so that any
-run of WINDOW + 2 lines that two texts share has a fingerprint in common. Fingerprints are
-joined with their first position (by doc_id, line); a match gives a diagonal of two texts, along which
-equal lines are extended both ways into runs. Runs of ``min_bytes`` bytes or more (150 are some 25
-words) are deleted from the later place.
+A line ends at a line break or at the space after a sentence's end. A fingerprint is the hash of the fewest
+lines from a line on, or up to a line, that have ``min_bytes`` bytes (150 are some 25 words): a long line alone,
+short ones with their neighbours; empty lines are passed over. Each line of any run of min_bytes or more that two texts share is in
+such a span within the run, so no run is missed, however few its lines. Spans that an earlier place (by doc_id,
+line) has already are deleted.
 
 Equal texts are one class before anything is dealt: only the first text of a class is
 fingerprinted, and its later copies are deleted whole if they have min_bytes bytes. A
-fingerprint's first position is a minimum with partial aggregation, and matches meet it in a
+fingerprint's first position is a minimum with partial aggregation, and later positions meet it in a
 join that AQE can split, so a passage that many texts share is never gathered.
 
 Edge cases: null and empty texts stay as they are; rows with equal doc_id and text are the same
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import written
 
-LINES_EACH, WINDOW, MIN_BYTES = 3, 2, 150
+MIN_BYTES = 150
 #: What lines end with; as places between characters, the end belongs to its line.
 ENDS, AFTER_ENDS = r"\n|(?<=[.!?])\x20", r"(?<=\n)|(?<=[.!?]\x20)"
 _LAST = (1 << 63) - 1
@@ -49,40 +48,45 @@ def _classes(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "h", "w")).alias("one")).select("t1", "t2", "one.*")
 
 
-def _fingerprints(classes: DataFrame, window: int) -> DataFrame:
-    """fp, doc_id, pos of each selected shingle of LINES_EACH lines."""
-    n = F.size("h")
-    hashes = [F.col("h")] * LINES_EACH
-    shingles = F.transform(F.sequence(F.lit(0), n - LINES_EACH), lambda i: F.xxhash64(*[F.get(h, i + j) for j, h in enumerate(hashes)]))
-    some = classes.where(n >= LINES_EACH).select("doc_id", shingles.alias("k"))
-    last = F.greatest(F.size("k") - window, F.lit(0))
+_BYTES = 20  # bits below the bytes, for the number of lines
 
-    def least(i: Column) -> Column:
-        part = F.slice("k", i + 1, window)
-        return (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
 
-    return some.select("doc_id", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), least))).alias("pos")).select(F.get("k", F.col("pos")).alias("fp"), "doc_id", "pos")
+def _least(sizes: Column, i: Column, min_bytes: int) -> Column:
+    """Number of the fewest lines from i on that have min_bytes, null if the text ends before; sizes: bytes shifted by _BYTES, plus one."""
+    enough = min_bytes << _BYTES
 
+    def taken(most: int) -> Column:
+        return F.aggregate(F.slice(sizes, i + 1, most), F.lit(0).cast("long"), lambda s, x: F.when(s >= enough, s).otherwise(s + x), lambda s: F.when(s >= enough, s % (1 << _BYTES)))
 
-def _equal_lines() -> Column:
-    """Lines (number, bytes) that are equal along the diagonal."""
-    low, high = F.greatest(F.col("diag"), F.lit(0)), F.least(F.size("h"), F.size("h0") + F.col("diag")) - 1
-    equal = F.filter(F.sequence(low, high), lambda i: F.get("h", i) == F.get("h0", i - F.col("diag")))
-    return F.transform(equal, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("size")))
+    return F.coalesce(taken(4), taken(16), taken(max(min_bytes, 1)))  # no line is empty
 
 
-def repeated_runs(classes: DataFrame, window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
+def _fingerprints(classes: DataFrame, min_bytes: int) -> DataFrame:
+    """fp, doc_id, a, b (first and last line) of each least span of min_bytes, from each line on and up to each line."""
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)
+    filled = classes.where(total >= max(min_bytes, 1)).withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0))
+    some = filled.select("doc_id", "at", F.transform("at", lambda i: F.get("h", i)).alias("h"), F.transform("at", lambda i: F.shiftleft(F.get("w", i).cast("long"), _BYTES) + 1).alias("w"))
+    some = some.withColumns({"r": F.reverse("w"), "ids": F.transform("at", lambda _, i: i.cast("long")), "last": F.size("w") - 1})
+    onward = F.transform("ids", lambda i: F.shiftleft(i, 32) + i + _least(F.col("w"), i.cast("int"), min_bytes) - 1)
+    back = F.transform("ids", lambda i: F.shiftleft(F.col("last") - i - _least(F.col("r"), i.cast("int"), min_bytes) + 1, 32) + F.col("last") - i)
+
+    def span(ab: Column) -> Column:
+        a, b = F.shiftright(ab, 32).cast("int"), (ab % (1 << 32)).cast("int")
+        return F.struct(F.xxhash64(F.slice("h", a + 1, b - a + 1)).alias("fp"), F.get("at", a).alias("a"), F.get("at", b).alias("b"))
+
+    # Hashed before they are dealt out, so that no row carries its text's arrays.
+    spans = some.select("doc_id", F.transform(F.filter(F.array_union(onward, back), lambda x: x.isNotNull()), span).alias("spans"))
+    # The outer form: else a filter inferred from it works the arrays out again for each line.
+    return spans.select("doc_id", F.inline_outer("spans")).where("fp is not null").select("fp", "doc_id", "a", "b")
+
+
+def repeated_runs(classes: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id and runs (array of a..b) of lines that an earlier place has already."""
-    prints = _fingerprints(classes, window)
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.doc_id").alias("doc0"), F.col("first.pos").alias("pos0"))
+    prints = written(_fingerprints(classes, min_bytes), classes.sparkSession)  # read twice
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.doc_id").alias("doc0"), F.col("first.a").alias("a0"))
     # Written, so that both sides of the join are dealt for it alone and a frequent fingerprint's rows can be split.
-    met = prints.join(written(firsts, classes.sparkSession), "fp").where("doc_id <> doc0 or pos <> pos0")
-    diagonals = met.select("doc_id", "doc0", (F.col("pos") - F.col("pos0")).alias("diag")).distinct()
-    sets = classes.select("doc_id", "h", "w")
-    both = diagonals.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("doc0"), F.col("h").alias("h0")), "doc0")
-    lines = both.select("doc_id", "doc0", "diag", F.posexplode(_equal_lines()).alias("i", "line"))
-    run = lines.groupBy("doc_id", "doc0", "diag", (F.col("line.at") - F.col("i")).alias("run")).agg(F.min("line.at").alias("a"), F.max("line.at").alias("b"), F.sum("line.size").alias("size"))
-    runs = run.where(F.col("size") >= min_bytes).select("doc_id", "a", "b").distinct()
+    met = prints.join(written(firsts, classes.sparkSession), "fp").where("doc_id <> doc0 or a <> a0")
+    runs = met.select("doc_id", "a", "b")
     # Overlapping runs of a text become one.
     reach = F.max("b").over(Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("a")).cast("int"))
@@ -91,11 +95,11 @@ def repeated_runs(classes: DataFrame, window: int = WINDOW, min_bytes: int = MIN
     return merged.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text cut, and n_lines, n_removed (lines), emptied (nothing is left of a text that had something)."""
     spark = docs.sparkSession
     classes = written(_classes(docs), spark)
-    runs = repeated_runs(classes, window, min_bytes)
+    runs = repeated_runs(classes, min_bytes)
     total = F.aggregate("w", F.lit(0), lambda a, x: a + x)
     plan = classes.select("t1", "t2", F.col("doc_id").alias("__first"), F.size("h").alias("__lines"), (total >= min_bytes).alias("__long")).join(runs.withColumnRenamed("doc_id", "__first").withColumnRenamed("runs", "__runs"), "__first", "left")
     own = docs.columns

@@ -61,3 +61,27 @@ def test_awkward_rows(spark):
     assert {r["text"] for r in got if r["doc_id"] == 4} == {"one two three four five six"}
     assert [r["text"] for r in got if r["doc_id"] == 0] == [None]
     assert dedup_lines(empty(spark)).count() == 0
+
+
+def test_short_runs_of_enough_bytes_go(spark):
+    """Each line of every run of min_bytes or more, be it of one, two or three lines, that an earlier text has is gone; shorter runs stay."""
+    import random
+
+    rng = random.Random(7)
+    pool = [f"Pool {i} " + "word " * rng.choice((1, 6, 15, 40)) + "end" for i in range(30)]
+    texts = []
+    for i in range(50):
+        a = rng.randint(0, 28)
+        texts.append("\n".join([f"Own start {i}", *pool[a : a + rng.randint(1, 3)], f"Own end {i}"]))
+    got = {r["doc_id"]: r["text"].split("\n") for r in dedup_lines(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        earlier = "\n" + "\n\n".join(texts[:i]) + "\n"
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = lines[a : b + 1]
+                if sum(map(len, run)) >= 150 and "\n" + "\n".join(run) + "\n" in earlier:
+                    gone |= {*range(a, b + 1)}
+        assert [x for x in got[i] if x] == [x for k, x in enumerate(lines) if k not in gone]
+    long = "one sentence that has no end and goes on with many words " * 4
+    assert [r["text"] for r in dedup_lines(docs_of(spark, [long + "\nA tail.", long])).orderBy("doc_id").collect()] == [long + "\nA tail.", ""]
