@@ -12,7 +12,8 @@ fingerprint's first position is a minimum with partial aggregation, and later po
 join that AQE can split, so a passage that many texts share is never gathered.
 
 Edge cases: null and empty texts stay as they are; rows with equal doc_id and text are the same
-document and share its decision; rows without doc_id count as the last. A text repeating itself
+document and share its decision; rows without doc_id count as the last. Different texts of one
+doc_id, or without any, are told apart by a row number, their order by their hashes. A text repeating itself
 keeps its first lines.
 """
 
@@ -40,12 +41,12 @@ def ended_lines(text: Column) -> Column:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """The first document of each distinct text: t1, t2 (its key), doc_id, h (line hashes), w (line bytes)."""
+    """The first document of each distinct text: t1, t2 (its key), doc_id, h (line hashes), w (line bytes), row (its rank by doc_id, t1, t2; to be written, since it holds for one run)."""
     lined = docs.where("text is not null and text <> ''").select(
         F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), lines_of(F.col("text")).alias("lines")
     )
     hashed = lined.select("doc_id", "t1", "t2", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("w"))
-    return hashed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "h", "w")).alias("one")).select("t1", "t2", "one.*")
+    return hashed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "h", "w")).alias("one")).select("t1", "t2", "one.*").orderBy("doc_id", "t1", "t2").withColumn("row", F.monotonically_increasing_id())
 
 
 _BYTES = 20  # bits below the bytes, for the number of lines
@@ -62,10 +63,10 @@ def _least(sizes: Column, i: Column, min_bytes: int) -> Column:
 
 
 def _fingerprints(classes: DataFrame, min_bytes: int) -> DataFrame:
-    """fp, doc_id, a, b (first and last line) of each least span of min_bytes, from each line on and up to each line."""
+    """fp, row, a, b (first and last line) of each least span of min_bytes, from each line on and up to each line."""
     total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)
     filled = classes.where(total >= max(min_bytes, 1)).withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0))
-    some = filled.select("doc_id", "at", F.transform("at", lambda i: F.get("h", i)).alias("h"), F.transform("at", lambda i: F.shiftleft(F.get("w", i).cast("long"), _BYTES) + 1).alias("w"))
+    some = filled.select("row", "at", F.transform("at", lambda i: F.get("h", i)).alias("h"), F.transform("at", lambda i: F.shiftleft(F.get("w", i).cast("long"), _BYTES) + 1).alias("w"))
     some = some.withColumns({"r": F.reverse("w"), "ids": F.transform("at", lambda _, i: i.cast("long")), "last": F.size("w") - 1})
     onward = F.transform("ids", lambda i: F.shiftleft(i, 32) + i + _least(F.col("w"), i.cast("int"), min_bytes) - 1)
     back = F.transform("ids", lambda i: F.shiftleft(F.col("last") - i - _least(F.col("r"), i.cast("int"), min_bytes) + 1, 32) + F.col("last") - i)
@@ -75,24 +76,24 @@ def _fingerprints(classes: DataFrame, min_bytes: int) -> DataFrame:
         return F.struct(F.xxhash64(F.slice("h", a + 1, b - a + 1)).alias("fp"), F.get("at", a).alias("a"), F.get("at", b).alias("b"))
 
     # Hashed before they are dealt out, so that no row carries its text's arrays.
-    spans = some.select("doc_id", F.transform(F.filter(F.array_union(onward, back), lambda x: x.isNotNull()), span).alias("spans"))
+    spans = some.select("row", F.transform(F.filter(F.array_union(onward, back), lambda x: x.isNotNull()), span).alias("spans"))
     # The outer form: else a filter inferred from it works the arrays out again for each line.
-    return spans.select("doc_id", F.inline_outer("spans")).where("fp is not null").select("fp", "doc_id", "a", "b")
+    return spans.select("row", F.inline_outer("spans")).where("fp is not null").select("fp", "row", "a", "b")
 
 
 def repeated_runs(classes: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id and runs (array of a..b) of lines that an earlier place has already."""
+    """row and runs (array of a..b) of lines that an earlier place has already."""
     prints = written(_fingerprints(classes, min_bytes), classes.sparkSession)  # read twice
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.doc_id").alias("doc0"), F.col("first.a").alias("a0"))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("row", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.row").alias("row0"), F.col("first.a").alias("a0"))
     # Written, so that both sides of the join are dealt for it alone and a frequent fingerprint's rows can be split.
-    met = prints.join(written(firsts, classes.sparkSession), "fp").where("doc_id <> doc0 or a <> a0")
-    runs = met.select("doc_id", "a", "b")
+    met = prints.join(written(firsts, classes.sparkSession), "fp").where("row <> row0 or a <> a0")
+    runs = met.select("row", "a", "b")
     # Overlapping runs of a text become one.
-    reach = F.max("b").over(Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("b").over(Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("a")).cast("int"))
-    part = opened.withColumn("part", F.sum("new").over(Window.partitionBy("doc_id").orderBy("a", "b")))
-    merged = part.groupBy("doc_id", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return merged.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
+    part = opened.withColumn("part", F.sum("new").over(Window.partitionBy("row").orderBy("a", "b")))
+    merged = part.groupBy("row", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -101,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     classes = written(_classes(docs), spark)
     runs = repeated_runs(classes, min_bytes)
     total = F.aggregate("w", F.lit(0), lambda a, x: a + x)
-    plan = classes.select("t1", "t2", F.col("doc_id").alias("__first"), F.size("h").alias("__lines"), (total >= min_bytes).alias("__long")).join(runs.withColumnRenamed("doc_id", "__first").withColumnRenamed("runs", "__runs"), "__first", "left")
+    plan = classes.select("t1", "t2", F.col("row").alias("__row"), F.col("doc_id").alias("__first"), F.size("h").alias("__lines"), (total >= min_bytes).alias("__long")).join(runs.withColumnsRenamed({"row": "__row", "runs": "__runs"}), "__row", "left")
     own = docs.columns
     keyed = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), F.col("text"))})
     joined = keyed.join(plan.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left")

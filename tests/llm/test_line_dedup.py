@@ -85,3 +85,16 @@ def test_short_runs_of_enough_bytes_go(spark):
         assert [x for x in got[i] if x] == [x for k, x in enumerate(lines) if k not in gone]
     long = "one sentence that has no end and goes on with many words " * 4
     assert [r["text"] for r in dedup_lines(docs_of(spark, [long + "\nA tail.", long])).orderBy("doc_id").collect()] == [long + "\nA tail.", ""]
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """Runs of one text aren't cut from others without doc_id or with the same one; a passage at the same place of two is found."""
+    for key in (None, 7):
+        rows = [(1, PASSAGE), (key, PASSAGE + "\n" + own(1)), (key, own(2, 14)), (key, own(3, 4) + "\n" + own(9, 5)), (key, own(4, 4) + "\n" + own(9, 5))]
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = [r["text"] for r in dedup_lines(docs).collect()]
+        assert sum(own(2, 14) == t for t in got) == 1
+        assert sum(own(1) in t for t in got) == 1
+        assert sum(own(3, 4) in t for t in got) == sum(own(4, 4) in t for t in got) == 1
+        assert sum(own(9, 5) in t for t in got) == 1
+        assert sum(PASSAGE in t for t in got) == 1
