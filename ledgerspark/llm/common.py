@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with texts of up to a megabyte a batch stays within some hundred MB.
 BATCH_ROWS = 256
@@ -48,3 +50,33 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that hold more than one of so many rows are joined by broadcast; there are HOT of them at most.
+HOT = 1024
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with keys (one row for each key, n: how many of the `total` rows have it), so that no key gathers in one task."""
+    bound = max(total // HOT, 1)
+    often = F.broadcast(keys.where(F.col("n") > bound))  # HOT rows at most, since their counts add up to total
+    rest = rows.join(often.select(on), on, "left_anti")
+    return rows.join(often, on).unionByName(rest.join(keys.where(F.col("n") <= bound), on))
+
+
+def free_names(taken: Iterable[str], wanted: Iterable[str]) -> dict[str, str]:
+    """Names of added columns: as wanted, with underscores in front while a column of the input has the name (case aside)."""
+    have, out = {c.lower() for c in taken}, {}
+    for name in wanted:
+        free = name
+        while free.lower() in have:
+            free = "_" + free
+        out[name] = free
+        have.add(free.lower())
+    return out
+
+
+def named(df: DataFrame, within: str | None = None, instead: dict[str, Column] | None = None) -> list[Column]:
+    """All columns of df by their exact names, from the struct `within` if given; instead: columns that replace those of a name."""
+    ticked = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
+    return [((instead or {})[c] if c in (instead or {}) else F.col(f"{within}.{t}" if within else t)).alias(c) for c, t in ticked.items()]

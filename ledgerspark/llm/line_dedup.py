@@ -1,20 +1,27 @@
-"""Line dedup by shingles of min_bytes bytes, with DataFrame operations alone.
+"""Line dedup by winnowing over line hashes, with DataFrame operations alone.
 
-A line ends at a line break or at the space after a sentence's end. A fingerprint is the hash of the fewest
-lines from a line on, or up to a line, that have ``min_bytes`` bytes (150 are some 25 words): a long line alone,
-short ones with their neighbours; empty lines are passed over. Each line of any run of min_bytes or more that two texts share is in
-such a span within the run, so no run is missed, however few its lines. Spans that an earlier place (by doc_id,
-line) has already are deleted.
+A line ends at a line break or at the space after a sentence's end; empty lines are passed over. A window is
+the fewest lines from a line on that have ``min_bytes`` bytes (150 are some 25 words): a long line alone,
+short ones with their neighbours.
 
-Equal texts are one class before anything is dealt: only the first text of a class is
-fingerprinted, and its later copies are deleted whole if they have min_bytes bytes. A
-fingerprint's first position is a minimum with partial aggregation, and later positions meet it in a
-join that AQE can split, so a passage that many texts share is never gathered.
+1. Winnowing: the minimum of each window (long lines before short ones, then by hash) is a fingerprint. Two texts
+   that share a run of min_bytes or more share a whole window of it, and so a fingerprint, however few its lines.
+2. Positions of equal fingerprints are joined. Texts with a fingerprint that occurs once only are done.
+3. Matches are extended both ways: in texts that are left, the fewest lines onward from each line and
+   back from each line that have min_bytes are held against the same spans of all of them. Each line of a shared
+   run lies in such a span within the run, so the spans that an earlier place (by doc_id, line) has make
+   up the whole run, whichever earlier places hold its pieces.
+4. Lines of later repeated spans are deleted.
+
+Equal texts are one class before anything is dealt: only the first text of a class is fingerprinted, and its
+later copies are deleted whole if they have min_bytes bytes. Keys with a large part of all rows (HOT at
+most, so of bounded size) are joined by broadcast, the others by shuffle: no key gathers in one task.
 
 Edge cases: null and empty texts stay as they are; rows with equal doc_id and text are the same
-document and share its decision; rows without doc_id count as the last. Different texts of one
-doc_id, or without any, are told apart by a row number, their order by their hashes. A text repeating itself
-keeps its first lines.
+document and share its decision; rows without doc_id count as the last. Texts are told apart by two hashes,
+so different ones of one doc_id, or without any, are different texts, in order of their hashes. A text that
+repeats itself keeps its first lines. An empty table gives an empty one. A very long text is exploded into its
+lines, which spill. Columns of the input may have any name: added ones that clash get underscores in front (``free_names``).
 """
 
 from __future__ import annotations
@@ -22,17 +29,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import HOT, free_names, meet, named, written
 
 MIN_BYTES = 150
-#: What lines end with; as places between characters, the end belongs to its line.
-ENDS, AFTER_ENDS = r"\n|(?<=[.!?])\x20", r"(?<=\n)|(?<=[.!?]\x20)"
+#: Longer lines count as equally good fingerprints.
+LONG_LINE = 64
+#: What lines end with, as places between characters; the end belongs to its line.
+AFTER_ENDS = r"(?<=\n)|(?<=[.!?]\x20)"
 _LAST = (1 << 63) - 1
+_TEXT = ("t1", "t2")
 
 
 def lines_of(text: Column) -> Column:
     """Lines without what ends them."""
-    return F.split(text, ENDS, -1)
+    for mark in ".!?":
+        text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+    return F.split(text, "\n", -1)
 
 
 def ended_lines(text: Column) -> Column:
@@ -40,83 +52,89 @@ def ended_lines(text: Column) -> Column:
     return F.split(text, AFTER_ENDS, -1)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """The first document of each distinct text: t1, t2 (its key), doc_id, h (line hashes), w (line bytes), row (its rank by doc_id, t1, t2; to be written, since it holds for one run)."""
-    lined = docs.where("text is not null and text <> ''").select(
-        F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), lines_of(F.col("text")).alias("lines")
-    )
-    hashed = lined.select("doc_id", "t1", "t2", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("w"))
-    return hashed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "h", "w")).alias("one")).select("t1", "t2", "one.*").orderBy("doc_id", "t1", "t2").withColumn("row", F.monotonically_increasing_id())
-
-
-_BYTES = 20  # bits below the bytes, for the number of lines
-
-
-def _least(sizes: Column, i: Column, min_bytes: int) -> Column:
-    """Number of the fewest lines from i on that have min_bytes, null if the text ends before; sizes: bytes shifted by _BYTES, plus one."""
-    enough = min_bytes << _BYTES
+def _key(text: str) -> dict[str, Column]:
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), F.col(text))}
 
-    def taken(most: int) -> Column:
-        return F.aggregate(F.slice(sizes, i + 1, most), F.lit(0).cast("long"), lambda s, x: F.when(s >= enough, s).otherwise(s + x), lambda s: F.when(s >= enough, s % (1 << _BYTES)))
 
-    return F.coalesce(taken(4), taken(16), taken(max(min_bytes, 1)))  # no line is empty
-
-
-def _fingerprints(classes: DataFrame, min_bytes: int) -> DataFrame:
-    """fp, row, a, b (first and last line) of each least span of min_bytes, from each line on and up to each line."""
-    total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)
-    filled = classes.where(total >= max(min_bytes, 1)).withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0))
-    some = filled.select("row", "at", F.transform("at", lambda i: F.get("h", i)).alias("h"), F.transform("at", lambda i: F.shiftleft(F.get("w", i).cast("long"), _BYTES) + 1).alias("w"))
-    some = some.withColumns({"r": F.reverse("w"), "ids": F.transform("at", lambda _, i: i.cast("long")), "last": F.size("w") - 1})
-    onward = F.transform("ids", lambda i: F.shiftleft(i, 32) + i + _least(F.col("w"), i.cast("int"), min_bytes) - 1)
-    back = F.transform("ids", lambda i: F.shiftleft(F.col("last") - i - _least(F.col("r"), i.cast("int"), min_bytes) + 1, 32) + F.col("last") - i)
-
-    def span(ab: Column) -> Column:
-        a, b = F.shiftright(ab, 32).cast("int"), (ab % (1 << 32)).cast("int")
-        return F.struct(F.xxhash64(F.slice("h", a + 1, b - a + 1)).alias("fp"), F.get("at", a).alias("a"), F.get("at", b).alias("b"))
-
-    # Hashed before they are dealt out, so that no row carries its text's arrays.
-    spans = some.select("row", F.transform(F.filter(F.array_union(onward, back), lambda x: x.isNotNull()), span).alias("spans"))
-    # The outer form: else a filter inferred from it works the arrays out again for each line.
-    return spans.select("row", F.inline_outer("spans")).where("fp is not null").select("fp", "row", "a", "b")
+def _classes(docs: DataFrame) -> DataFrame:
+    """Of each distinct text: t1, t2 (its key), doc_id (the first), h (line hashes), w (line bytes), bytes (all), n (documents). docs: doc_id, text."""
+    lined = docs.where("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), *[c.alias(k) for k, c in _key("text").items()], F.octet_length("text").cast("long").alias("bytes"), lines_of(F.col("text")).alias("lines"))
+    hashed = lined.select("doc_id", *_TEXT, F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("w"), (F.col("bytes") - F.size("lines") + 1).alias("bytes"))
+    return hashed.groupBy(*_TEXT).agg(F.min(F.struct("doc_id", "h", "w", "bytes")).alias("one"), F.count("*").alias("n")).select(*_TEXT, "one.*", "n")
+
+
+def _lines(classes: DataFrame, min_bytes: int) -> DataFrame:
+    """Rows of the lines that aren't empty: pos, h, w, c (bytes before) beside t1, t2, doc_id, bytes; dealt by text."""
+    dealt = classes.where(F.col("bytes") >= max(min_bytes, 1)).repartition(*_TEXT)
+    rows = dealt.select(*_TEXT, "doc_id", "bytes", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "x")).select(*_TEXT, "doc_id", "bytes", "pos", F.col("x.h").alias("h"), F.col("x.w").cast("long").alias("w")).where("w > 0")
+    order = Window.partitionBy(*_TEXT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("c", F.sum("w").over(order) - F.col("w"))
+
+
+def _minima(classes: DataFrame, min_bytes: int) -> DataFrame:
+    """fp (line hash), place (of text and line) and text of the minimum of each window."""
+    order = Window.partitionBy(*_TEXT).orderBy("c")
+    least = F.min(F.struct((-F.least("w", F.lit(LONG_LINE))).alias("size"), "h", "pos")).over(order.rangeBetween(0, max(min_bytes, 1) - 1))
+    windows = _lines(classes, min_bytes).select(*_TEXT, "c", "bytes", least.alias("m")).where(F.col("bytes") - F.col("c") >= min_bytes)
+    fresh = windows.withColumn("before", F.lag("m.pos").over(order)).where("before is null or before <> m.pos")
+    return fresh.select(F.col("m.h").alias("fp"), F.xxhash64(*_TEXT, "m.pos").alias("place"), *_TEXT)
+
+
+def _spans(classes: DataFrame, min_bytes: int) -> DataFrame:
+    """fp, t1, t2, doc_id, a, b (first and last line) of the fewest lines of min_bytes onward from each line and back from each line."""
+    min_bytes = max(min_bytes, 1)
+    begin = Window.partitionBy(*_TEXT).orderBy("c").rangeBetween(0, min_bytes - 1)
+    end = Window.partitionBy(*_TEXT).orderBy("d").rangeBetween(1 - min_bytes, 0)
+    lines = _lines(classes, min_bytes).withColumn("d", F.col("c") + F.col("w"))
+    on = lines.withColumns({"on": F.collect_list("h").over(begin), "b": F.max("pos").over(begin)})
+    back = on.withColumns({"back": F.collect_list("h").over(end), "a": F.min("pos").over(end), "low": F.min("c").over(end)})
+    onward = F.when(F.col("bytes") - F.col("c") >= min_bytes, F.struct(F.xxhash64("on").alias("fp"), F.col("pos").alias("a"), F.col("b")))
+    # The same span as an onward one if it has too few bytes without its last line.
+    backward = F.when((F.col("d") - F.col("low") >= min_bytes) & (F.col("c") - F.col("low") >= min_bytes), F.struct(F.xxhash64("back").alias("fp"), F.col("a"), F.col("pos").alias("b")))
+    return back.select(*_TEXT, "doc_id", F.explode(F.array_compact(F.array(onward, backward))).alias("s")).select("s.fp", *_TEXT, "doc_id", "s.a", "s.b")
 
 
 def repeated_runs(classes: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """row and runs (array of a..b) of lines that an earlier place has already."""
-    prints = written(_fingerprints(classes, min_bytes), classes.sparkSession)  # read twice
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("row", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("first.row").alias("row0"), F.col("first.a").alias("a0"))
-    # Written, so that both sides of the join are dealt for it alone and a frequent fingerprint's rows can be split.
-    met = prints.join(written(firsts, classes.sparkSession), "fp").where("row <> row0 or a <> a0")
-    runs = met.select("row", "a", "b")
-    # Overlapping runs of a text become one.
-    reach = F.max("b").over(Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    opened = runs.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("a")).cast("int"))
-    part = opened.withColumn("part", F.sum("new").over(Window.partitionBy("row").orderBy("a", "b")))
-    merged = part.groupBy("row", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return merged.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
+    """t1, t2 and runs (array of a..b) of lines that an earlier place has already. classes: written, since they are read twice."""
+    spark = classes.sparkSession
+    minima = written(_minima(classes, min_bytes), spark)
+    counted = minima.groupBy("fp").agg(F.count("*").alias("n"), F.min("place").alias("p"), F.max("place").alias("q")).where("p <> q").select("fp", "n")
+    texts = meet(minima, written(counted, spark), "fp", minima.count()).select(*_TEXT).distinct()
+    prints = written(_spans(classes.join(texts, [*_TEXT], "left_semi"), min_bytes), spark)
+    place = F.struct("doc_id", *_TEXT, "a")
+    firsts = prints.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = meet(prints, written(firsts, spark), "fp", prints.count()).where(place != F.col("first"))
+    # Overlapping spans of a text become one run.
+    own = Window.partitionBy(*_TEXT).orderBy("a", "b")
+    reach = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    opened = met.select(*_TEXT, "a", "b").withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("a")).cast("int"))
+    merged = opened.withColumn("part", F.sum("new").over(own)).groupBy(*_TEXT, "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy(*_TEXT).agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # a text's own runs
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text cut, and n_lines, n_removed (lines), emptied (nothing is left of a text that had something)."""
     spark = docs.sparkSession
-    classes = written(_classes(docs), spark)
-    runs = repeated_runs(classes, min_bytes)
-    total = F.aggregate("w", F.lit(0), lambda a, x: a + x)
-    plan = classes.select("t1", "t2", F.col("row").alias("__row"), F.col("doc_id").alias("__first"), F.size("h").alias("__lines"), (total >= min_bytes).alias("__long")).join(runs.withColumnsRenamed({"row": "__row", "runs": "__runs"}), "__row", "left")
-    own = docs.columns
-    keyed = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), F.col("text"))})
-    joined = keyed.join(plan.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left")
-    later = F.coalesce((F.coalesce("doc_id", F.lit(_LAST)) != F.col("__first")) & F.col("__long"), F.lit(False))
-    whole = F.coalesce("text", F.lit(""))
-    kept = F.filter(ended_lines(whole), lambda _, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
-    cut = F.col("__runs").isNotNull() & ~later
-    text = F.when(later, F.lit("")).when(cut, F.array_join(kept, "")).otherwise(F.col("text"))
-    n_lines = F.when(whole == "", 0).otherwise(F.coalesce("__lines", F.lit(0))).cast("long")
-    gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + r["b"] - r["a"] + 1)
+    classes = written(_classes(docs.select("doc_id", "text")), spark)
+    plan = classes.select(*_TEXT, F.col("doc_id").alias("first"), F.size("h").alias("lines"), (F.col("bytes") >= min_bytes).alias("long"), "n")
+    row = docs.select(F.struct(*named(docs)).alias("r")).withColumns(_key("r.text"))
+    is_later = F.coalesce((F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_LAST)) != F.col("first")) & F.col("long"), F.lit(False))
+    # Copies of texts with a large part of all rows are known without a shuffle.
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(plan.where(F.col("n") > F.greatest(F.lit(total / HOT), F.lit(1))).drop("n"))
+    copies = row.join(often, [*_TEXT]).where(is_later).withColumn("runs", F.lit(None).cast("array<struct<a: int, b: int>>"))
+    others = row.join(often.withColumnsRenamed({"first": "f", "long": "l", "lines": "s"}), [*_TEXT], "left").where(~F.coalesce((F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_LAST)) != F.col("f")) & F.col("l"), F.lit(False))).drop("f", "l", "s")
+    planned = plan.drop("n").join(repeated_runs(classes, min_bytes), [*_TEXT], "left")
+    joined = others.join(planned, [*_TEXT], "left").unionByName(copies)
+
+    text, later = F.col("r.text"), is_later
+    whole = F.coalesce(text, F.lit(""))
+    cut = F.col("runs").isNotNull() & ~later
+    kept = F.filter(ended_lines(whole), lambda _, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
+    n_lines = F.when(whole == "", 0).otherwise(F.coalesce("lines", F.lit(0))).cast("long")
+    gone = F.aggregate("runs", F.lit(0), lambda a, r: a + r["b"] - r["a"] + 1)
     left = F.when(later, 0).when(cut, n_lines - gone).otherwise(n_lines).cast("long")
-    out = joined.withColumns({"__cut": text, "__n": n_lines, "__left": left})
-    return out.select(
-        *[F.col("__cut").alias("text") if c == "text" else F.col(c) for c in own],
-        F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__left")).alias("n_removed"),
-        (~F.coalesce(F.col("__cut"), F.lit("")).rlike(r"\S") & (F.col("__n") > F.col("__left"))).alias("emptied"),
-    )
+    out = joined.select("r", F.when(later, F.lit("")).when(cut, F.array_join(kept, "")).otherwise(text).alias("cut"), n_lines.alias("n"), left.alias("left"))
+    names = free_names(docs.columns, ("n_lines", "n_removed", "emptied"))
+    emptied = ~F.coalesce("cut", F.lit("")).rlike(r"\S") & (F.col("n") > F.col("left"))
+    return out.select(*named(docs, "r", {"text": F.col("cut")}), F.col("n").alias(names["n_lines"]), (F.col("n") - F.col("left")).alias(names["n_removed"]), emptied.alias(names["emptied"]))
