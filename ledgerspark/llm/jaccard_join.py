@@ -39,14 +39,13 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import local_path, shared_dir, written
 from ledgerspark.llm.components import components
-from ledgerspark.llm.lm_scoring import gathered, pack, shard_of, texts_in, unpack
+from ledgerspark.llm.lm_scoring import GATHER_TOKENS, gathered, pack, shard_of, summed, texts_in, unpack
 from ledgerspark.llm.words import SOLID, mix, shingles_of, words_of
 
 SHINGLE, PERCENT = 5, 80
 GROUPS, LEAF, FANOUT, SMALL, FEW = 64, 32, 8, 96, 8
 #: The list of frequent shingles: how many, and how often one occurs in a gathered batch to be counted. It only orders.
 FREQUENT, OFTEN = 1 << 18, 3
-_MASK = np.uint64((1 << 48) - 1)
 
 
 def enough(both: np.ndarray | int, n: int, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | bool:
@@ -87,8 +86,13 @@ class CountVectorRTree:
         return self.order[live]
 
 
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The overlap that sets of n and m need."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 class Store:
-    """Sets, points and ids that map tasks have written, mapped into memory. A place is (part << 32) | row."""
+    """Sets (ascending hashes), points and ids that map tasks have written, mapped into memory. A place is (part << 32) | row."""
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
@@ -97,10 +101,9 @@ class Store:
         return _part(self.folder, k)
 
     def set_of(self, place: int) -> np.ndarray:
-        low, high, ends, _, _ = self.part(place >> 32)
+        sets, ends, _, _ = self.part(place >> 32)
         row = place & 0xFFFFFFFF
-        a, b = int(ends[row - 1]) if row else 0, int(ends[row])
-        return (high[a:b].astype(np.uint64) << np.uint64(32)) | low[a:b]
+        return sets[int(ends[row - 1]) if row else 0 : int(ends[row])]
 
     def _rows(self, places: np.ndarray, column: int, out: np.ndarray) -> np.ndarray:
         parts = places >> 32
@@ -110,26 +113,26 @@ class Store:
         return out
 
     def points(self, places: np.ndarray) -> np.ndarray:
-        return self._rows(places, 3, np.empty((len(places), GROUPS), np.int32))
+        return self._rows(places, 2, np.empty((len(places), GROUPS), np.int32))
 
     def ids(self, places: np.ndarray) -> np.ndarray:
-        return self._rows(places, 4, np.empty(len(places), np.int64))
+        return self._rows(places, 3, np.empty(len(places), np.int64))
 
 
 @lru_cache(maxsize=512)
 def _part(folder: str, k: int) -> tuple[np.ndarray, ...]:
     def mapped(name: str, kind: type, width: int = 1) -> np.ndarray:
         path = f"{folder}/{name}{k}"
-        x = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+        x = np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.empty(0, kind)  # slices of a plain array cost little
         return x.reshape(-1, width) if width > 1 else x
 
-    return mapped("low", np.uint32), mapped("high", np.uint16), mapped("ends", np.int64), mapped("point", np.int32, GROUPS), mapped("id", np.int64)
+    return mapped("set", np.uint64), mapped("ends", np.int64), mapped("point", np.int32, GROUPS), mapped("id", np.int64)
 
 
 def _shingles(held: list[pa.RecordBatch], size: int) -> tuple[np.ndarray, np.ndarray]:
     words, offsets = words_of(texts_in(held), SOLID)
     hashes, at = shingles_of(words, offsets, size)
-    return mix(hashes) & _MASK, at
+    return mix(hashes), at
 
 
 def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
@@ -137,21 +140,28 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "n"])
+
         for held in gathered(batches):
             new, n = np.unique(_shingles(held, size)[0], return_counts=True)
-            keys, counts = np.concatenate((keys, new[n >= OFTEN])), np.concatenate((counts, n[n >= OFTEN]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["h", "n"])
+            keys, counts = summed(np.concatenate((keys, new[n >= OFTEN])), np.concatenate((counts, n[n >= OFTEN])))
+            if len(keys) > GATHER_TOKENS:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        yield out()
 
     counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "h").limit(most).collect()  # a bounded list
-    return np.array([r["h"] for r in reversed(rows)], dtype=np.uint64)
+    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
 ROWS = "doc_id long, n long, key_a long, key_b long, place long, prefix binary"
 
 
 def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """ROWS of each document: size and key of its set, its place in the store, its prefix."""
+    """ROWS of each document: size and key of its set, its place in the store, its prefix in the global order."""
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # FREQUENT entries at most
 
@@ -159,7 +169,7 @@ def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent:
         known, rank = sent.value
         part, row, end = TaskContext.get().partitionId(), 0, 0
         os.makedirs(folder, exist_ok=True)
-        names = ("low", "high", "ends", "point", "id")
+        names = ("set", "ends", "point", "id")
         temporary = {x: f"{folder}/.{x}{part}.{uuid.uuid4().hex}" for x in names}
         files = {x: open(p, "wb") for x, p in temporary.items()}  # noqa: SIM115
         for held in gathered(batches):
@@ -170,21 +180,20 @@ def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent:
                 own = np.unique(hashes[at[i] : at[i + 1]])
                 n = len(own)
                 end += n
-                files["low"].write(own.astype(np.uint32).tobytes())
-                files["high"].write((own >> np.uint64(32)).astype(np.uint16).tobytes())
+                files["set"].write(own.tobytes())
                 files["ends"].write(np.int64(end).tobytes())
                 files["point"].write(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
                 files["id"].write(np.int64(-1 if doc_id is None else doc_id).tobytes())
                 spread = mix(own)
                 a, b = int(spread.sum(dtype=np.uint64)), int(mix(spread ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                place = own.copy()
+                place = own >> np.uint64(1)
                 if len(known) and n:
                     j = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = known[j] == own
-                    place[often] = np.uint64(1 << 62) + rank[j[often]].astype(np.uint64)
+                    place[often] = np.uint64(1 << 63) + rank[j[often]].astype(np.uint64)
                 first = n - -(-percent * n // 100) + 1 if n else 0
-                prefix = own[np.argsort(place)[:first]]
-                out.append((doc_id, n, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), (part << 32) | row, np.sort(prefix).tobytes()))
+                prefix = own[np.argsort(place, kind="stable")[:first]]
+                out.append((doc_id, n, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), (part << 32) | row, prefix.tobytes()))
                 row += 1
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in ROWS.split(", ")])
@@ -222,7 +231,8 @@ class Linker:
 
     def same(self, x: int, y: int) -> bool:
         a, b = self.store.set_of(int(self.places[x])), self.store.set_of(int(self.places[y]))
-        return bool(enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), self.percent))
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        return bool(enough(int(np.count_nonzero(b[at] == a)), len(a), len(b), self.percent))
 
     def try_pair(self, x: int, y: int) -> None:
         """Verify two members that aren't connected."""
@@ -237,33 +247,40 @@ class Linker:
                 self.apart.clear()
             self.apart.add(pair)
 
-    def bounded(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which pairs' sizes and points allow the similarity."""
+    def bounded(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs' sizes, places i and j of the shared shingle in their orders, and points allow the similarity.
+
+        At the first shingle that two sets share, only what follows it in both can be shared besides; at a
+        later one a linked pair may fail, since it has passed at its first.
+        """
         n, m = self.sizes[x], self.sizes[y]
-        out = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)).nonzero()[0]
-        for i in range(0, len(out), 1 << 16):
-            part = out[i : i + (1 << 16)]
+        need = least_overlap(n, m, self.percent)
+        out = np.flatnonzero((np.minimum(n - i, m - j) >= need) & (np.minimum(n, m) >= need))
+        for k in range(0, len(out), 1 << 16):
+            part = out[k : k + (1 << 16)]
             both = np.minimum(self.points[x[part]], self.points[y[part]]).sum(axis=1, dtype=np.int64)
-            out[i : i + (1 << 16)] = np.where(enough(both, n[part], m[part], self.percent), part, -1)
+            out[k : k + (1 << 16)] = np.where(both >= need[part], part, -1)
         return out[out >= 0]
 
-    def small_blocks(self, members: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> None:
-        """Blocks of up to FEW members at once; a pair that several blocks hold is looked at once."""
-        width = len(self.places)
-        keys = []
-        for m in range(2, FEW + 1):
-            h = heads[sizes == m]
-            keys += [np.unique(members[h + i] * width + members[h + j]) for j in range(m) for i in range(j)] if len(h) else []
-        if not keys:
-            return
-        pairs = np.unique(np.concatenate(keys))
-        x, y = pairs // width, pairs % width
-        fit = self.bounded(x, y)
-        for a, b in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
+    def pairs(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Verify those of many pairs that the bounds leave and that aren't connected."""
+        fit = self.bounded(x, y, i, j)
+        for a, b in np.unique(np.stack((np.minimum(x[fit], y[fit]), np.maximum(x[fit], y[fit]))), axis=1).T.tolist():
             if self.root(a) != self.root(b):
                 self.try_pair(a, b)
 
-    def block(self, members: np.ndarray) -> None:
+    def small_blocks(self, members: np.ndarray, order: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> None:
+        """Blocks of up to FEW members at once; order: places of the shared shingle."""
+        for m in range(2, FEW + 1):
+            h = heads[sizes == m]
+            for k in range(0, len(h), step := 1 << 18):
+                part = h[k : k + step]
+                at = [(part + a, part + b) for b in range(m) for a in range(b)]
+                if len(part):
+                    one, two = (np.concatenate(z) for z in zip(*at, strict=True))
+                    self.pairs(members[one], members[two], order[one], order[two])
+
+    def block(self, members: np.ndarray, order: np.ndarray) -> None:
         """A larger block: each member outside its largest connected part is searched for in an R-tree of all others."""
         roots = self.roots(members)
         if (roots == roots[0]).all():
@@ -271,13 +288,10 @@ class Linker:
         if len(members) <= SMALL:  # one leaf: all points are bounded against each other at once
             i, j = _triangle(len(members))
             apart = np.flatnonzero(roots[i] != roots[j])
-            x, y = members[i[apart]], members[j[apart]]
-            fit = self.bounded(x, y)
-            for a, b in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
-                if self.root(a) != self.root(b):
-                    self.try_pair(a, b)
+            i, j = i[apart], j[apart]
+            self.pairs(members[i], members[j], order[i], order[j])
             return
-        points = self.points[members]
+        points, sizes = self.points[members], self.sizes[members]
         tree = CountVectorRTree(points, self.percent)
         done = np.zeros(len(members), bool)
         while True:
@@ -289,6 +303,7 @@ class Linker:
                 done[h] = True
                 near = tree.search(points[h])
                 near = near[(roots[near] != roots[h]) & ~done[near]]
+                near = near[np.minimum(sizes[near] - order[near], sizes[h] - order[h]) >= least_overlap(sizes[near], sizes[h], self.percent)]
                 before = len(self.edges)
                 for y in near.tolist():
                     if self.root(int(members[y])) != self.root(int(members[h])):
@@ -307,35 +322,37 @@ def link_classes(classes: DataFrame, folder: str, percent: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches, 16 << 20):
             prefixes = [x for b in held for x in b.column(1).to_pylist()]
+            sizes = np.array([len(x) // 8 for x in prefixes], np.int64)
             tokens = np.frombuffer(b"".join(prefixes), np.uint64)
-            places = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), [len(x) // 8 for x in prefixes])
+            places = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), sizes)
+            order = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             shard = shard_of(mix(tokens), shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            by_shard = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
             own = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-            cut = [order[bounds[s] : bounds[s + 1]] for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([pack(tokens[c]) for c in cut], pa.binary()), pa.array([pack(places[c]) for c in cut], pa.binary())], ["shard", "tokens", "places"])
+            cut = [by_shard[bounds[s] : bounds[s + 1]] for s in own]
+            packed = [pa.array([pack(x[c]) for c in cut], pa.binary()) for x in (tokens, places, order.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *packed], ["shard", "tokens", "places", "place_in_order"])
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([unpack(x, np.uint64) for x in table.column("tokens").to_pylist()])
-        places = np.concatenate([unpack(x, np.int64) for x in table.column("places").to_pylist()])
-        order = np.lexsort((places, tokens))
-        tokens, places = tokens[order], places[order]
+        tokens, places, order = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("places", np.int64), ("place_in_order", np.uint32)))
+        by_token = np.lexsort((places, tokens))
+        tokens, places, order = tokens[by_token], places[by_token], order[by_token].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         size = np.diff(np.append(first, len(tokens)))
         store = Store(folder)
         shared = np.repeat(size > 1, size)
         distinct, members = np.unique(places[shared], return_inverse=True)
-        size = size[size > 1]
+        order, size = order[shared], size[size > 1]
         heads = np.cumsum(size) - size
         linker = Linker(store, distinct, percent)
-        linker.small_blocks(members, heads, np.where(size <= FEW, size, 0))
+        linker.small_blocks(members, order, heads, np.where(size <= FEW, size, 0))
         for a, n in zip(heads[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-            linker.block(members[a : a + n])
+            linker.block(members[a : a + n], order[a : a + n])
         ends = distinct[np.array(linker.edges, dtype=np.int64).reshape(-1, 2)] if linker.edges else np.empty((0, 2), np.int64)
         return pa.table({"u": pa.array(store.ids(ends[:, 0])), "v": pa.array(store.ids(ends[:, 1]))})
 
-    dealt = classes.select("place", "prefix").mapInArrow(deal, "shard int, tokens binary, places binary")
+    dealt = classes.select("place", "prefix").mapInArrow(deal, "shard int, tokens binary, places binary, place_in_order binary")
     return dealt.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
