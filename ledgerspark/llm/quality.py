@@ -4,12 +4,14 @@ Overlapping heuristic labellers vote on each document (good, bad, no vote). Vote
 pattern over all documents - at most 3^labellers patterns, whatever the input - and
 expectation-maximisation on these counts estimates each labeller's rates of votes for good and bad
 documents. The posterior of a document's pattern is its soft label. Posterior labels of
-a bounded, hashed sample train a linear scorer on hashed words and word shapes, which then
-scores every whole text. Toxicity is a second head of the same kind, on word presence: it is trained
-on a bounded, hashed sample of rows with toxicity labels, and words of the abuse list count in any case.
-
-Edge cases: null counts as empty; empty texts get votes like any other and no features; an
-empty table gives an empty result; repeated rows give repeated results.
+a bounded sample (the distinct texts of least hashes, so that copies weigh nothing and a fit repeats exactly)
+train a linear scorer on hashed words and word shapes, which then scores every whole text. Toxicity is a second
+head of the same kind, on word presence: it is trained on a bounded sample of documents with toxicity labels (least
+hashes of doc_id), and words of the abuse list count in any case.
+
+Edge cases: null counts as empty; empty texts get votes like any other and no features; very long texts are read
+whole; an empty table gives an empty result; repeated rows give repeated results; ties of votes follow the prior; of
+labels that differ the toxic one holds. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import least_hashed
 from ledgerspark.llm.words import ALNUM, SOLID, words_of
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -229,23 +232,18 @@ class Model:
         return f.abuse > 0 or (self.toxic is not None and self.toxic.score(*words_in(f)) >= TOXIC)
 
 
-def _drawn(texts: DataFrame, share: float) -> DataFrame:
-    return texts.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-
-
 def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = TOXIC_SAMPLE) -> Scorer | None:
-    """The toxicity head, from about `sample` labelled documents."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, sample / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """The toxicity head, from `sample` labelled documents at most, one row each."""
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = least_hashed(marked, sample, column="doc_id").select("doc_id", "toxic")  # `sample` rows at most
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("one")).select("one.text", "one.toxic")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words_in(f)[0] for f in facts_of_all(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in found], pa.binary()), batch.column(1)], ["at", "toxic"])
 
-    chosen = chosen.withColumn("toxic", F.col("toxic").cast("int"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(featured, "at binary, toxic int").limit(2 * sample).collect()  # about `sample` rows
+    rows = known.mapInArrow(featured, "at binary, toxic int").collect()  # `sample` rows at most
     rows.sort()
     targets = np.array([float(r["toxic"] > 0) for r in rows])
     if not rows or targets.min() == targets.max():
@@ -254,7 +252,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = TOXIC_SAMPLE) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
-    """Label model over all documents, scorer on about `sample` of them. labels: doc_id, toxic of some documents."""
+    """Label model over all documents, scorer on `sample` distinct texts at most. labels: doc_id, toxic of some documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -265,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     texts = docs.select("text")
     counts = {r["votes"]: r["n"] for r in texts.mapInArrow(count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}  # 3^8 rows at most
     weak = estimate(counts)
-    drawn = _drawn(texts, min(1.0, sample / max(1, sum(counts.values()))))
+    drawn = least_hashed(texts.select(F.coalesce("text", F.lit("")).alias("text")), sample).select("text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
                 ["votes", "at", "v"],
             )
 
-    rows = drawn.mapInArrow(featured, "votes string, at binary, v binary").limit(2 * sample).collect()  # about `sample` rows
+    rows = drawn.mapInArrow(featured, "votes string, at binary, v binary").collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r["votes"], r["at"], r["v"]))
     targets = np.array([weak.posterior(r["votes"]) for r in rows])
     scorer = train([(np.frombuffer(r["at"], np.uint16).astype(np.int32), np.frombuffer(r["v"], np.float32).astype(float)) for r in rows], targets)
