@@ -9,11 +9,13 @@ positions, and the occurrences are merged into removal spans.
 
 Phrases are the windows of WINDOW consecutive item words; an item of fewer words is one
 window. Documents are never shuffled. The benchmark is sent in blocks of at most
-``block_chars`` characters, one pass over the documents for each.
+``block_chars`` characters, one written pass over the documents for each.
 
 Edge cases: null texts and texts without words have no words and are never contaminated;
 items without words have no window; repeated rows give repeated results; an item without id
-counts as ``null``; an empty benchmark leaves everything clean.
+counts as ``null``; an empty benchmark leaves everything clean; very long texts are searched whole, as a shard of
+their own; ties can't arise; an empty table gives an empty one. Columns of docs may have any name: added ones that
+clash get underscores in front (``free_names``).
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import free_names, named, written
 from ledgerspark.llm.words import ALNUM, words_of
 
 #: Fixed by the contract.
@@ -195,56 +198,59 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "__n_words long, __spans array<struct<a: bigint, b: bigint>>, __items array<string>"
-_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+#: Added columns.
+RESULTS = ("n_words", "n_hit", "items", "spans", "contaminated")
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _mark(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
-    """docs with FOUND; where it has these columns already, this block's findings are added."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # at most block_chars characters' worth
-    own = [c for c in docs.columns if c not in ("__n_words", "__spans", "__items")]
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", " + FOUND
+def _mark(held: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
+    """held: r (a row of documents), text, and n_words, spans, items of the blocks before, to which this one's are added."""
+    sent = held.sparkSession.sparkContext.broadcast(phrases)  # at most block_chars characters' worth
+    names = held.columns
 
     def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+        texts = [t for b in batches for t in b.column(1).cast(pa.binary()).to_pylist()]
         n_words, spans, items = occurrences(texts, sent.value)
         at = 0
         for b in batches:
             part = slice(at, at + b.num_rows)
             at += b.num_rows
-            s, i = spans[part], [sorted(x) for x in items[part]]
-            if "__spans" in b.schema.names:
-                s = [_merged(x + [(y["a"], y["b"]) for y in old]) for x, old in zip(s, b.column("__spans").to_pylist(), strict=True)]
-                i = [sorted({*x, *old}) for x, old in zip(i, b.column("__items").to_pylist(), strict=True)]
-            columns = [b.column(b.schema.get_field_index(c)) for c in own]
-            columns += [pa.array(n_words[part], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in z] for z in s], _SPANS), pa.array(i, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*own, "__n_words", "__spans", "__items"])
+            s = [_merged(x + [(y["start"], y["end"]) for y in old or ()]) for x, old in zip(spans[part], b.column(3).to_pylist(), strict=True)]
+            i = [sorted({*x, *(old or ())}) for x, old in zip(items[part], b.column(4).to_pylist(), strict=True)]
+            columns = [pa.array(n_words[part], pa.int64()), pa.array([[{"start": x, "end": y} for x, y in z] for z in s], _PLACES), pa.array(i, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) >= shard_bytes:
-                yield from shard(held)
-                held = []
-        if held:
-            yield from shard(held)
+            waiting.append(batch)
+            if sum(b.nbytes for b in waiting) >= shard_bytes:
+                yield from shard(waiting)
+                waiting = []
+        if waiting:
+            yield from shard(waiting)
 
-    return docs.mapInArrow(run, ddl)
+    return held.mapInArrow(run, held.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, items (found, sorted as strings), spans (of words to remove, merged) and contaminated."""
+    """docs with n_words, n_hit, items (found, sorted as strings), spans (of words to remove, merged) and contaminated.
+
+    More than one block of the benchmark: each is written before the next, so that a worker holds one at a time.
+    """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text")).where("text is not null")
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    out = docs
+    nothing = {"n_words": "bigint", "spans": "array<struct<start: bigint, end: bigint>>", "items": "array<string>"}
+    out = docs.select(F.struct(*named(docs)).alias("r"), "text", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         out = _mark(out, Phrases.of([(r[0], r[1]) for r in part.collect()], window), shard_bytes)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
-    spans = F.transform("__spans", lambda s: F.struct(s["a"].alias("start"), s["b"].alias("end")))
-    return out.withColumns({"n_words": F.col("__n_words"), "n_hit": n_hit, "items": F.col("__items"), "spans": spans, "contaminated": (n_hit > 0) & (SHARE * n_hit >= F.col("__n_words"))}).drop("__n_words", "__spans", "__items")
+        out = written(out, docs.sparkSession) if k + 1 < blocks else out
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    told = {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": F.col("items"), "spans": F.col("spans"), "contaminated": (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))}
+    names = free_names(docs.columns, RESULTS)
+    return out.withColumn("n_hit", n_hit).select(*named(docs, "r"), *[told[k].alias(v) for k, v in names.items()])
 
 
 def digests(found: DataFrame) -> DataFrame:
