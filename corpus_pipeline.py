@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.bpe import encode_decode
-from ledgerspark.llm.common import bounded_batches, documents, written
-from ledgerspark.llm.decontaminate import decontaminate
+from ledgerspark.llm.common import bounded_batches, documents, free_names, named, written
+from ledgerspark.llm.decontaminate import RESULTS, decontaminate
 from ledgerspark.llm.jaccard_join import jaccard_components
 from ledgerspark.llm.language import fit, identify, train_rows
 from ledgerspark.llm.line_dedup import dedup_lines
@@ -24,13 +24,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language's centroids come near, and those without a letter, go."""
     bounded_batches(spark)
     model = fit(train_rows(docs.select("doc_id", "text", "lang")))
-    return identify(docs, model, keep=True).where("not rejected").select(docs.columns)
+    found = identify(docs, model, keep=True)
+    return found.where(~F.col(free_names(docs.columns, ("lang_pred", "score", "rejected"))["rejected"])).select(*named(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that an earlier place has are cut out; documents of which nothing is left go."""
-    found = dedup_lines(docs).where("not emptied")
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))).select(docs.columns)
+    names = free_names(docs.columns, ("n_lines", "n_removed", "emptied"))
+    found = dedup_lines(docs).where(~F.col(names["emptied"]))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col(names["n_removed"]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*named(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +42,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bounded_batches(spark)
     groups = jaccard_components(docs.select("doc_id", "text"))
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents, by the rule of hit words, go; others stay as they are."""
     bounded_batches(spark)
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(docs.columns)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col(free_names(docs.columns, RESULTS)["contaminated"])).select(*named(docs))
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

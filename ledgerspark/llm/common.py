@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with texts of up to a megabyte a batch stays within some hundred MB.
@@ -80,3 +82,38 @@ def named(df: DataFrame, within: str | None = None, instead: dict[str, Column] |
     """All columns of df by their exact names, from the struct `within` if given; instead: columns that replace those of a name."""
     ticked = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
     return [((instead or {})[c] if c in (instead or {}) else F.col(f"{within}.{t}" if within else t)).alias(c) for c, t in ticked.items()]
+
+
+def least_hashed(df: DataFrame, most: int, by: str | None = None, column: str = "text") -> DataFrame:
+    """A drawn sample that repeats: by each value of `by`, the rows of the `most` distinct values of column with the least hashes, one row each.
+
+    Tasks hand on their `most` least hashes by value alone, so neither copies nor the number of rows make it larger.
+    The columns of df, and draw (the hash).
+    """
+    hashed = df.withColumn("draw", F.xxhash64(column, F.lit(7)))
+    if by is None:
+        by, hashed = "__all", hashed.withColumn("__all", F.lit(1))
+
+    def least(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[object, np.ndarray] = {}
+        for batch in frames:
+            keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            place: dict[object, list[int]] = {}
+            for i, k in enumerate(keys):
+                place.setdefault(k, []).append(i)
+            for k, own in place.items():
+                new = hashes[own]
+                kept[k] = np.unique(np.concatenate((kept[k], new)) if k in kept else new)[:most]
+        for k, v in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), type_of), pa.array(v)], [by, "draw"])
+
+    narrow = hashed.select(by, "draw")
+    type_of = pa.string() if dict(narrow.dtypes)[by] == "string" else pa.int32()
+    found = narrow.mapInArrow(least, narrow.schema).distinct()
+    order = Window.partitionBy(by).orderBy("draw")
+    bounds = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).groupBy(by).agg(F.max("draw").alias("bound"))
+    limits = {r[by]: r["bound"] for r in bounds.collect()}  # one for each value
+    if not limits:
+        return hashed.where("false").drop("__all")
+    bound = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])[F.col(by)]
+    return hashed.where(F.col("draw") <= bound).dropDuplicates([by, "draw"]).drop("__all")

@@ -1,15 +1,17 @@
 """Language identification by nearest centroid.
 
 A text becomes a TF-IDF vector of hashed byte n-grams (2 to 4) of its lower-cased letters,
-words apart; each language has several centroids (spherical k-means over a bounded, hashed
-sample of labelled texts); the language of the most similar centroid by cosine is predicted.
+words apart; each language has several centroids (spherical k-means over a bounded
+sample: as many distinct texts of each language, those with the least hashes, so that copies weigh nothing and
+a fit repeats exactly); the language of the most similar centroid by cosine is predicted.
 Document frequencies cover all training documents. A text is rejected when its similarity is
 below what the sample shows for texts of its length, with a margin, so that only text unlike
 every language goes. Texts without a letter, and null, are ``und`` and rejected.
 
-Edge cases: no labelled text at all makes everything ``und``; null labels never train; ties
-between centroids go to the first language by name; only doc_id, text and lang are read,
-lang for training rows alone.
+Edge cases: no labelled text at all, or an empty table, makes everything ``und``; null labels never train; ties
+between centroids go to the first language by name; repeated rows get equal results; very long texts are counted
+whole, in pieces cut between words; only text (and lang, for training rows) is read, other columns of any name are
+carried, and results whose names they have get underscores in front (``free_names``).
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ledgerspark.llm.words import PIECE
+from ledgerspark.llm.common import free_names, least_hashed, named
+from ledgerspark.llm.words import pieces
 
 #: n of the n-grams and the bits of their hash space.
 GRAMS = ((2, 11), (3, 13), (4, 13))
@@ -37,6 +41,7 @@ UNKNOWN = "und"
 _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[: ord("a")] = 32
 _LETTER[ord("z") + 1 : 128] = 32
+_IN_WORD = _LETTER != 32
 
 
 def _piece_counts(raw: np.ndarray, into: np.ndarray) -> None:
@@ -58,9 +63,8 @@ def _piece_counts(raw: np.ndarray, into: np.ndarray) -> None:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a whole text that occur, ascending, and how often."""
     into = np.zeros(SIZE, np.int64)
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
-    for i in range(0, max(len(raw), 1), PIECE):
-        _piece_counts(raw[i : i + PIECE], into)
+    for piece in pieces(text.lower().encode(), _IN_WORD):
+        _piece_counts(np.frombuffer(piece, np.uint8), into)
     at = np.flatnonzero(into)
     return at, into[at]
 
@@ -94,23 +98,52 @@ def length_bin(n: int) -> int:
     return min(BINS - 1, int(np.log2(n + 1)))
 
 
-def k_means(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds; fewer rows than k give fewer centroids."""
+Rows = list[tuple[np.ndarray, np.ndarray]]
+#: Rows of one dense block in k-means.
+BLOCK = 256
+
+
+def _blocks(rows: Rows) -> Iterator[tuple[int, np.ndarray]]:
+    """Sparse rows as dense blocks of bounded size, with the number of each one's first row."""
+    for i in range(0, len(rows), BLOCK):
+        part = rows[i : i + BLOCK]
+        dense = np.zeros((len(part), SIZE), np.float32)
+        for j, (at, v) in enumerate(part):
+            dense[j, at] = v
+        yield i, dense
+
+
+def k_means(rows: Rows, k: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from farthest-first seeds over sparse rows; fewer rows than k give fewer centroids."""
     k = min(k, len(rows))
-    seeds = [0]
-    far = rows @ rows[0]
+
+    def dense(i: int) -> np.ndarray:
+        out = np.zeros(SIZE, np.float32)
+        out[rows[i][0]] = rows[i][1]
+        return out
+
+    def near(c: np.ndarray) -> np.ndarray:
+        return np.array([v @ c[at] for at, v in rows])
+
+    centres = [dense(0)]
+    far = near(centres[0])
     for _ in range(k - 1):
-        seeds.append(int(np.argmin(far)))
-        far = np.maximum(far, rows @ rows[seeds[-1]])
-    centres = rows[seeds]
+        centres.append(dense(int(np.argmin(far))))
+        far = np.maximum(far, near(centres[-1]))
+    now = np.stack(centres)
     for _ in range(rounds):
-        who = np.argmax(rows @ centres.T, axis=1)
-        new = np.stack([rows[who == j].sum(axis=0) if (who == j).any() else centres[j] for j in range(k)])
+        new, size = np.zeros_like(now), np.zeros(k, np.int64)
+        for _, block in _blocks(rows):
+            who = np.argmax(block @ now.T, axis=1)
+            for j in range(k):
+                new[j] += block[who == j].sum(axis=0)
+                size[j] += (who == j).sum()
+        new = np.where(size[:, None] > 0, new, now)
         new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, centres):
+        if np.allclose(new, now):
             break
-        centres = new
-    return centres
+        now = new
+    return now
 
 
 def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
@@ -140,15 +173,12 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """labelled: text and lang of the training documents. sample: bound on texts the centroids are fitted on."""
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # a row for each language
     if not languages:
         return LanguageModel([], np.zeros(SIZE), np.zeros((SIZE, 0)), np.zeros(0, int), np.zeros(BINS))
     df, n_docs = _frequencies(labelled)
     idf = np.log((n_docs + 1) / (df + 1)) + 1
-    each = max(1, sample // len(languages))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / sizes[k]))])[F.col("lang")]
-    drawn = labelled.where((F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000))
+    drawn = least_hashed(labelled, max(1, sample // len(languages)), "lang").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,20 +188,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 ["lang", "at", "n"],
             )
 
-    rows = drawn.mapInArrow(run, "lang string, at binary, n binary").limit(2 * sample).collect()  # about `sample` rows
+    rows = drawn.mapInArrow(run, "lang string, at binary, n binary").collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     parts, owner, texts = [], [], []
     for i, lang in enumerate(languages):
-        own = [r for r in rows if r["lang"] == lang]
-        dense = np.zeros((len(own), SIZE), np.float32)
-        for j, r in enumerate(own):
-            at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.int32)
-            v = (1 + np.log(n)) * idf[at]
-            norm = np.sqrt((v * v).sum())
-            dense[j, at] = v / norm if norm else v
-            texts.append((at, dense[j, at], int(n.sum())))
-        if len(own):
-            centres = k_means(dense, CENTROIDS)
+        own = []
+        for r in rows:
+            if r["lang"] == lang:
+                at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.int32)
+                v = (1 + np.log(n)) * idf[at]
+                norm = np.sqrt((v * v).sum())
+                own.append((at, (v / norm if norm else v).astype(np.float32)))
+                texts.append((*own[-1], int(n.sum())))
+        if own:
+            centres = k_means(own, CENTROIDS)
             parts.append(centres)
             owner += [i] * len(centres)
     if not parts:
@@ -192,20 +222,19 @@ def identify(docs: DataFrame, model: LanguageModel, keep: bool = False) -> DataF
     """lang_pred, score and rejected per document; keep: all columns of docs, without them the doc_id."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # some MB, whatever the input
-    carried = docs.columns if keep else ["doc_id"]
-    place = docs.columns.index("text")
-    fields = [docs.schema[c] for c in carried]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
+    carried = docs if keep else docs.select("doc_id")
+    held = docs.select(F.struct(*named(carried)).alias("r"), "text")
+    schema = StructType([held.schema["r"], *[StructField(c, t) for c, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            out = [model.predict(t) for t in batch.column(place).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in carried]
-            columns += [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*carried, "lang_pred", "score", "rejected"])
+            out = [model.predict(t) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["r", "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, ddl)
+    names = free_names(carried.columns, ("lang_pred", "score", "rejected"))
+    return held.mapInArrow(run, schema).select(*named(carried, "r"), *[F.col(k).alias(v) for k, v in names.items()])
 
 
 #: Folds by which documents are held out of the fit.

@@ -70,7 +70,7 @@ def _hashes(data: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts]), starts
 
 
-def _pieces(data: bytes, is_word: np.ndarray) -> Iterator[bytes]:
+def pieces(data: bytes, is_word: np.ndarray) -> Iterator[bytes]:
     """A long text in parts that end between words."""
     at = 0
     while len(data) - at > PIECE:
@@ -106,7 +106,7 @@ def words_of(texts: Sequence[bytes | None], is_word: np.ndarray) -> tuple[np.nda
         data = text or b""
         if len(data) > PIECE:
             flush()
-            for piece in _pieces(data, is_word):
+            for piece in pieces(data, is_word):
                 h, _ = _hashes(piece, is_word)
                 parts.append(h)
                 counts[i] += len(h)
