@@ -11,10 +11,11 @@ order, rare ones before those that a counting pass found frequent; two sets of s
 share a shingle among the first n - ceil(t * n) + 1 of each, so no link is lost, whatever the order.
 
 1. Frequent shingles (a bounded list) are counted over all documents.
-2. Map tasks write sets, points and ids to arrays in the shared folder and hand on keys and prefixes.
+2. Map tasks write sets, points and ids to arrays in the shared folder and hand on the sets' keys.
 3. Equal sets are one class; from here on one document stands for each.
-4. Prefix shingles are dealt by hash as packed arrays; a task links within each block. Members
-   that are connected already are skipped, so a group of near copies costs about one
+4. Prefix shingles, read back from the stored sets, are dealt by hash as packed arrays; a task links within each
+   block. Pairs must pass bounds of their sizes, of the shared shingle's places in both orders, and of their
+   points. Members that are connected already are skipped, so a group of near copies costs about one
    verification for each member. Edges of the task's forest are handed on.
 5. Components of the edges by star contraction.
 
@@ -157,16 +158,13 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.nd
     return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
-ROWS = "doc_id long, n long, key_a long, key_b long, place long, prefix binary"
+ROWS = "doc_id long, n long, key_a long, key_b long, place long"
 
 
-def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """ROWS of each document: size and key of its set, its place in the store, its prefix in the global order."""
-    order = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # FREQUENT entries at most
+def write_sets(docs: DataFrame, folder: str, size: int) -> DataFrame:
+    """ROWS of each document: size and key of its set, its place in the store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
         part, row, end = TaskContext.get().partitionId(), 0, 0
         os.makedirs(folder, exist_ok=True)
         names = ("set", "ends", "point", "id")
@@ -186,17 +184,9 @@ def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent:
                 files["id"].write(np.int64(-1 if doc_id is None else doc_id).tobytes())
                 spread = mix(own)
                 a, b = int(spread.sum(dtype=np.uint64)), int(mix(spread ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                place = own >> np.uint64(1)
-                if len(known) and n:
-                    j = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = known[j] == own
-                    place[often] = np.uint64(1 << 63) + rank[j[often]].astype(np.uint64)
-                first = n - -(-percent * n // 100) + 1 if n else 0
-                prefix = own[np.argsort(place, kind="stable")[:first]]
-                out.append((doc_id, n, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), (part << 32) | row, prefix.tobytes()))
+                out.append((doc_id, n, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), (part << 32) | row))
                 row += 1
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in ROWS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], [x.split()[0] for x in ROWS.split(", ")])
         for x in names:
             files[x].close()
             os.replace(temporary[x], f"{folder}/{x}{part}")
@@ -204,6 +194,17 @@ def write_sets(docs: DataFrame, folder: str, size: int, percent: int, frequent:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, ROWS)
 
 
+def prefix_of(own: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The part of a set, first in the global order, of which it shares something with each set of the similarity. known: frequent hashes, ascending, and their rank."""
+    n = len(own)
+    place = own >> np.uint64(1)
+    if len(known) and n:
+        j = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        often = known[j] == own
+        place[often] = np.uint64(1 << 63) + rank[j[often]].astype(np.uint64)
+    return own[np.argsort(place, kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]]
+
+
 @lru_cache(maxsize=SMALL)
 def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
@@ -315,24 +316,42 @@ class Linker:
             roots = self.roots(members)
 
 
-def link_classes(classes: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Edges u, v between the documents that stand for the classes. classes: place, prefix."""
+def _gathered_prefixes(batches: Iterator[pa.RecordBatch], store: Store, known: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Places and their sets' prefixes, GATHER_TOKENS or so at a time."""
+    own: list[tuple[int, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        for place in batch.column(0).to_pylist():
+            own.append((place, prefix_of(store.set_of(place), known, rank, percent)))
+            n += len(own[-1][1])
+            if n > GATHER_TOKENS // 2:
+                yield own
+                own, n = [], 0
+    if own:
+        yield own
+
+
+def link_classes(classes: DataFrame, folder: str, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Edges u, v between the documents that stand for the classes. classes: place."""
+    ascending = np.argsort(frequent)
+    sent = classes.sparkSession.sparkContext.broadcast((frequent[ascending], ascending))  # FREQUENT entries at most
     shards = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches, 16 << 20):
-            prefixes = [x for b in held for x in b.column(1).to_pylist()]
-            sizes = np.array([len(x) // 8 for x in prefixes], np.int64)
-            tokens = np.frombuffer(b"".join(prefixes), np.uint64)
-            places = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), sizes)
+        known, rank = sent.value
+        store = Store(folder)
+        for own in _gathered_prefixes(batches, store, known, rank, percent):
+            sizes = np.array([len(x) for _, x in own], np.int64)
+            tokens = np.concatenate([x for _, x in own])
+            places = np.repeat(np.array([p for p, _ in own], np.int64), sizes)
             order = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             shard = shard_of(mix(tokens), shards)
             by_shard = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-            own = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-            cut = [by_shard[bounds[s] : bounds[s + 1]] for s in own]
+            some = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
+            cut = [by_shard[bounds[s] : bounds[s + 1]] for s in some]
             packed = [pa.array([pack(x[c]) for c in cut], pa.binary()) for x in (tokens, places, order.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *packed], ["shard", "tokens", "places", "place_in_order"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], ["shard", "tokens", "places", "place_in_order"])
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         tokens, places, order = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("tokens", np.uint64), ("places", np.int64), ("place_in_order", np.uint32)))
@@ -352,7 +371,7 @@ def link_classes(classes: DataFrame, folder: str, percent: int) -> DataFrame:
         ends = distinct[np.array(linker.edges, dtype=np.int64).reshape(-1, 2)] if linker.edges else np.empty((0, 2), np.int64)
         return pa.table({"u": pa.array(store.ids(ends[:, 0])), "v": pa.array(store.ids(ends[:, 1]))})
 
-    dealt = classes.select("place", "prefix").mapInArrow(deal, "shard int, tokens binary, places binary, place_in_order binary")
+    dealt = classes.select("place").mapInArrow(deal, "shard int, tokens binary, places binary, place_in_order binary")
     return dealt.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
@@ -360,11 +379,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, class_id (least doc_id with an equal set) and component_id of each document."""
     spark = docs.sparkSession
     folder = local_path(shared_dir(spark)) + "-sets"
-    rows = written(write_sets(docs, folder, size, percent, frequent_shingles(docs, size)), spark)
+    rows = written(write_sets(docs, folder, size), spark)
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "place", "prefix")).alias("one"))
-    classes = written(classes.select("key_a", "key_b", F.col("one.doc_id").alias("class_id"), F.col("one.place").alias("place"), F.col("one.prefix").alias("prefix")), spark)
-    found = components(link_classes(classes, folder, percent))
+    classes = full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "place")).alias("one"))
+    classes = written(classes.select("key_a", "key_b", F.col("one.doc_id").alias("class_id"), F.col("one.place").alias("place")), spark)
+    found = components(link_classes(classes, folder, percent, frequent_shingles(docs, size)))
     named = classes.select("key_a", "key_b", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = named.select("key_a", "key_b", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "n", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
