@@ -204,21 +204,21 @@ _PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _mark(held: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
-    """held: r (a row of documents), text, and n_words, spans, items of the blocks before, to which this one's are added."""
+    """held: r (a row of documents), and n_words, spans, items of the blocks before, to which this one's are added."""
     sent = held.sparkSession.sparkContext.broadcast(phrases)  # at most block_chars characters' worth
     names = held.columns
 
     def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(1).cast(pa.binary()).to_pylist()]
+        texts = [t for b in batches for t in b.column(0).field("text").cast(pa.binary()).to_pylist()]
         n_words, spans, items = occurrences(texts, sent.value)
         at = 0
         for b in batches:
             part = slice(at, at + b.num_rows)
             at += b.num_rows
-            s = [_merged(x + [(y["start"], y["end"]) for y in old or ()]) for x, old in zip(spans[part], b.column(3).to_pylist(), strict=True)]
-            i = [sorted({*x, *(old or ())}) for x, old in zip(items[part], b.column(4).to_pylist(), strict=True)]
+            s = [_merged(x + [(y["start"], y["end"]) for y in old or ()]) for x, old in zip(spans[part], b.column(2).to_pylist(), strict=True)]
+            i = [sorted({*x, *(old or ())}) for x, old in zip(items[part], b.column(3).to_pylist(), strict=True)]
             columns = [pa.array(n_words[part], pa.int64()), pa.array([[{"start": x, "end": y} for x, y in z] for z in s], _PLACES), pa.array(i, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -242,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
     nothing = {"n_words": "bigint", "spans": "array<struct<start: bigint, end: bigint>>", "items": "array<string>"}
-    out = docs.select(F.struct(*named(docs)).alias("r"), "text", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    out = docs.select(F.struct(*named(docs)).alias("r"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         out = _mark(out, Phrases.of([(r[0], r[1]) for r in part.collect()], window), shard_bytes)
