@@ -9,7 +9,8 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with texts of up to a megabyte a batch stays within some hundred MB.
@@ -84,35 +85,47 @@ def named(df: DataFrame, within: str | None = None, instead: dict[str, Column] |
     return [((instead or {})[c] if c in (instead or {}) else F.col(f"{within}.{t}" if within else t)).alias(c) for c, t in ticked.items()]
 
 
+#: Groups of tasks whose least hashes are merged before the driver merges the groups'.
+DEALS = 16
+
+
 def least_hashed(df: DataFrame, most: int, by: str | None = None, column: str = "text") -> DataFrame:
     """A drawn sample that repeats: by each value of `by`, the rows of the `most` distinct values of column with the least hashes, one row each.
 
-    Tasks hand on their `most` least hashes by value alone, so neither copies nor the number of rows make it larger.
+    Tasks hand on their `most` least hashes by value alone, DEALS groups of tasks theirs, so neither copies nor the number of rows
+    make it larger, and no value gathers in one task.
     The columns of df, and draw (the hash).
     """
     hashed = df.withColumn("draw", F.xxhash64(column, F.lit(7)))
     if by is None:
         by, hashed = "__all", hashed.withColumn("__all", F.lit(1))
 
-    def least(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[object, np.ndarray] = {}
-        for batch in frames:
-            keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for batch in batches:
             place: dict[object, list[int]] = {}
-            for i, k in enumerate(keys):
+            for i, k in enumerate(batch.column(0).to_pylist()):
                 place.setdefault(k, []).append(i)
+            hashes = batch.column(1).to_numpy()
             for k, own in place.items():
-                new = hashes[own]
-                kept[k] = np.unique(np.concatenate((kept[k], new)) if k in kept else new)[:most]
+                kept[k] = np.unique(np.concatenate((kept[k], hashes[own])) if k in kept else hashes[own])[:most]
+        deal = TaskContext.get().partitionId() % DEALS
         for k, v in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), type_of), pa.array(v)], [by, "draw"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), kind), pa.array([deal] * len(v), pa.int32()), pa.array(v)], [by, "deal", "draw"])
+
+    def least_of_all(table: pa.Table) -> pa.Table:
+        first = np.argsort(table.column("draw").to_numpy(), kind="stable")
+        draws, at = np.unique(table.column("draw").to_numpy()[first], return_index=True)
+        return table.take(first[at[:most]])
 
     narrow = hashed.select(by, "draw")
-    type_of = pa.string() if dict(narrow.dtypes)[by] == "string" else pa.int32()
-    found = narrow.mapInArrow(least, narrow.schema).distinct()
-    order = Window.partitionBy(by).orderBy("draw")
-    bounds = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).groupBy(by).agg(F.max("draw").alias("bound"))
-    limits = {r[by]: r["bound"] for r in bounds.collect()}  # one for each value
+    kind = pa.string() if dict(narrow.dtypes)[by] == "string" else pa.int32()
+    schema = f"`{by}` {dict(narrow.dtypes)[by]}, deal int, draw long"
+    found = narrow.mapInArrow(least, schema).groupBy(by, "deal").applyInArrow(least_of_all, schema)
+    draws: dict[object, set[int]] = {}
+    for r in found.collect():  # DEALS times `most` for each value at most
+        draws.setdefault(r[by], set()).add(r["draw"])
+    limits = {k: sorted(v)[:most][-1] for k, v in draws.items()}
     if not limits:
         return hashed.where("false").drop("__all")
     bound = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])[F.col(by)]

@@ -223,13 +223,14 @@ def identify(docs: DataFrame, model: LanguageModel, keep: bool = False) -> DataF
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # some MB, whatever the input
     carried = docs if keep else docs.select("doc_id")
-    held = docs.select(F.struct(*named(carried)).alias("r"), "text")
+    held = docs.select(F.struct(*named(carried)).alias("r"), *([] if keep else ["text"]))  # the text goes out once
     schema = StructType([held.schema["r"], *[StructField(c, t) for c, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            out = [model.predict(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(0).field("text") if keep else batch.column(1)
+            out = [model.predict(t) for t in texts.to_pylist()]
             columns = [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["r", "lang_pred", "score", "rejected"])
 
