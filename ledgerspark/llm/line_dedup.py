@@ -40,7 +40,7 @@ LONG_LINE = 64
 #: Lines that are looked at beside each other; windows of more lines go by window functions.
 AHEAD = 8
 #: Places between a line, with what ends it and empty lines, and the next one.
-AFTER_ENDS = r"(?<=\n|(?<![.!?])[.!?]\x20)(?!\n)"
+AFTER_ENDS = r"(?:(?<=\n)|(?<=[.!?]\x20)(?<!\.\.\x20|!!\x20|\?\?\x20|\?!\x20|!\?\x20))(?!\n)"
 MARKS = ".!?"
 _LAST, _HASH = (1 << 63) - 1, (1 << 56) - AHEAD
 _TEXT = ("t1", "t2")
@@ -51,12 +51,16 @@ def lines_of(text: Column) -> Column:
     return F.array_remove(_pieces(text), "")
 
 
-def _pieces(text: Column) -> Column:
-    for first in MARKS:
-        for mark in MARKS:
-            text = F.replace(text, F.lit(f"{first}{mark} "), F.lit(f"{first}{mark}\x01"))  # only hashes see it
+#: Repeated marks, after which no line ends.
+_REPEATED = ("..", "!!", "??", "?!", "!?")
+
+
+def _pieces(text: Column, end: str = "") -> Column:
+    """Lines and empty ones; end: put where a line ends with a space instead of a line break."""
+    for marks in _REPEATED:
+        text = F.replace(text, F.lit(f"{marks} "), F.lit(f"{marks}\x01"))
     for mark in MARKS:
-        text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+        text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}{end}\n"))
     return F.split(text, "\n", -1)
 
 
@@ -203,12 +207,20 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     text, later = F.col("r.text"), is_later
     whole = F.coalesce(text, F.lit(""))
     cut = F.col("runs").isNotNull() & ~later
-    number = lambda i: i - whole.startswith("\n").cast("int")
-    kept = F.filter(ended_lines(whole), lambda _, i: ~F.exists("runs", lambda r: (number(i) >= r["a"]) & (number(i) <= r["b"])))
+
+    def kept(lines: Column, number: Column | int) -> Column:
+        return F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (i - number >= r["a"]) & (i - number <= r["b"])))
+
+    # Without empty lines and control characters the lines that are left join again as they were cut.
+    plain = ~(whole.contains("\n\n") | whole.startswith("\n") | whole.contains("\x01") | whole.contains("\x02"))
+    quick = F.array_join(kept(_pieces(whole, "\x02"), 0), "\n")
+    for mark, was in (("\x02\n", " "), ("\x02", " "), ("\x01", " ")):
+        quick = F.replace(quick, F.lit(mark), F.lit(was))
+    less = F.when(plain, quick).otherwise(F.array_join(kept(ended_lines(whole), whole.startswith("\n").cast("int")), ""))
     n_lines = F.when(whole == "", 0).otherwise(F.coalesce("lines", F.lit(0))).cast("long")
     gone = F.aggregate("runs", F.lit(0), lambda a, r: a + r["b"] - r["a"] + 1)
     left = F.when(later, 0).when(cut, n_lines - gone).otherwise(n_lines).cast("long")
-    out = joined.select("r", F.when(later, F.lit("")).when(cut, F.array_join(kept, "")).otherwise(text).alias("cut"), n_lines.alias("n"), left.alias("left"))
+    out = joined.select("r", F.when(later, F.lit("")).when(cut, less).otherwise(text).alias("cut"), n_lines.alias("n"), left.alias("left"))
     names = free_names(docs.columns, ("n_lines", "n_removed", "emptied"))
     emptied = ~F.coalesce("cut", F.lit("")).rlike(r"\S") & (F.col("n") > F.col("left"))
     return out.select(*named(docs, "r", {"text": F.col("cut")}), F.col("n").alias(names["n_lines"]), (F.col("n") - F.col("left")).alias(names["n_removed"]), emptied.alias(names["emptied"]))
