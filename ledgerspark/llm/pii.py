@@ -10,16 +10,21 @@ account numbers, titled names) are replaced by keyed surrogates of the same type
 * Octets of addresses are shifted alike, modulo 256. A card number keeps its check-sum residue,
   a phone number its first digit after the plus, a mail address its top-level domain.
 * A name keeps its title and each part's last letter, which carry the gender; parts move on their own, so that a
-  surname alone and with a first name stay the same.
+  surname alone and with a first name stay the same. Names are found after a title; later and earlier mentions of
+  such a name's parts without one, in the same text, are replaced alike.
 
 Equal entities, also in other case or with other separators, get equal surrogates (coreference).
 Collision checks over all distinct entities find surrogates that equal an entity of the corpus, or
-another one's surrogate, or their own entity; these are drawn again with a tweak until none is left.
+another one's surrogate, or their own entity; these are drawn again with a tweak. What collides in all of ROUNDS
+draws, since its format has hardly a free surrogate, becomes a placeholder of its kind and a keyed hash: distinct and
+the same everywhere, though without the format. So no collision is left.
 
 Without such cases (the rule) surrogates are computed in place and texts are never shuffled;
 else the redrawn ones are joined by text.
 
-Edge cases: null stays null; texts without entities are unchanged; repeated rows are equal after it.
+Edge cases: null stays null; empty texts and texts without entities are unchanged; repeated rows are equal after it;
+ties between owners of a surrogate go to the earlier draw, then the least entity; very long texts are replaced
+whole; an empty table gives an empty one. Columns may have any name: an added one that clashes gets underscores in front.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import free_names, named, written
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = r"(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа)"
+_TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -44,8 +49,11 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: Classes of characters, lower case: a character becomes another one of its class.
-CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
-KEY = "surrogate-key-1"
+CLASSES = (
+    "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áéíóúàèìòùâêîôûäëïöüåæøœãõýÿ", "çñßšžčćłńśźżřďťňğş",
+    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "ёйъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς",
+)
+#: Draws of a surrogate before the placeholder is taken.
 ROUNDS = 8
 
 
@@ -108,7 +116,18 @@ def norm_of(entity: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "account", F.translate(entity, " ", "")).otherwise(F.lower(entity))
 
 
-def surrogate(entity: Column, kind: Column, tweak: Column, key: str = KEY) -> Column:
+def placeholder(entity: Column, kind: Column, key: str) -> Column:
+    """What an entity becomes whose format has no free surrogate: its kind and a keyed hash, so distinct and the same everywhere."""
+    return F.concat(F.lit("<"), kind, F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, norm_of(entity, kind)), 256), 1, 24), F.lit(">"))
+
+
+def _part(part: Column, tweak: Column, key: str) -> Column:
+    """A part of a name, but for its last letter."""
+    return F.concat(_letters(F.substring(part, F.lit(1), F.length(part) - 1), F.lit("name"), tweak, key), F.right(part, F.lit(1)))
+
+
+def surrogate(entity: Column, kind: Column, tweak: Column, key: str) -> Column:
+    """tweak: the number of the draw; below 0 for the placeholder."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     # Of a card number all but the last digit move; the last one restores the check-sum's residue.
     card = _letters(F.regexp_replace(entity, "[0-9]$", ""), F.lit("card"), tweak, key)
@@ -118,22 +137,22 @@ def surrogate(entity: Column, kind: Column, tweak: Column, key: str = KEY) -> Co
     tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[A-Za-z]{2,}$", 0)).otherwise(F.lit(""))
     middle = F.substring(entity, F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))
     rest = F.concat(head, _letters(middle, kind, tweak, key), tail)
-    parts = F.transform(F.split(middle, " "), lambda w: F.concat(_letters(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("name"), tweak, key), F.right(w, F.lit(1))))
+    parts = F.transform(F.split(middle, " "), lambda w: _part(w, tweak, key))
     rest = F.when(kind == "name", F.concat(head, F.array_join(parts, " "))).otherwise(rest)
-    return F.when(kind == "ip", _octets(entity, tweak, key)).when(kind == "card", fixed_card).otherwise(rest)
+    return F.when(tweak < 0, placeholder(entity, kind, key)).when(kind == "ip", _octets(entity, tweak, key)).when(kind == "card", fixed_card).otherwise(rest)
 
 
 def entities_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
-def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, norm, tweak of the entities whose first surrogate collides."""
+def redrawn(docs: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """kind, norm, tweak of the entities whose first surrogate collides; -1 for those that collide in every round."""
     spark = docs.sparkSession
     found = docs.select(F.explode(F.array_distinct(entities_of(F.col("text")))).alias("e")).distinct()
     found = found.withColumn("kind", kind_of(F.col("e"))).withColumn("norm", norm_of(F.col("e"), F.col("kind")))
     now = found.groupBy("kind", "norm").agg(F.min("e").alias("e")).withColumn("tweak", F.lit(0))
-    for _ in range(ROUNDS):
+    for k in range(rounds):
         now = now.withColumn("s", norm_of(surrogate(F.col("e"), F.col("kind"), F.col("tweak"), key), F.col("kind")))
         now = written(now, spark)
         real = now.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
@@ -143,28 +162,40 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
         judged = written(judged.select("kind", "norm", "e", "tweak", bad.alias("bad")), spark)
         if judged.where("bad").isEmpty():
             break
-        now = judged.select("kind", "norm", "e", (F.col("tweak") + F.col("bad").cast("int")).alias("tweak"))
-    return now.where("tweak > 0").select("kind", "norm", "tweak")
+        again = F.col("tweak") + 1 if k + 1 < rounds else F.lit(-1)
+        now = judged.select("kind", "norm", "e", F.when(F.col("bad"), again).otherwise(F.col("tweak")).alias("tweak"))
+    return now.where("tweak <> 0").select("kind", "norm", "tweak")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with entities of text replaced, and n_entities."""
-    again = redrawn(docs, key)
-    own = docs.columns
-    with_tweaks = docs.withColumn("__tweaks", F.expr("cast(null as map<string, int>)"))
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
+    """docs with entities of text replaced, and n_entities. key: the caller's secret; who has it can undo the surrogates."""
+    texts = docs.select("text")
+    again = written(redrawn(texts, key), docs.sparkSession)
+    held = docs.select(F.struct(*named(docs)).alias("r")).withColumn("text", F.col("r.text"))
+    with_tweaks = held.withColumn("tweaks", F.expr("cast(null as map<string, int>)"))
     if not again.isEmpty():
-        keys = {"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), F.col("text"))}
-        used = docs.select("text").withColumns(keys).select("__t1", "__t2", F.explode(F.array_distinct(entities_of(F.col("text")))).alias("e")).distinct()
+        keys = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), F.col("text"))}
+        used = texts.withColumns(keys).select("t1", "t2", F.explode(F.array_distinct(entities_of(F.col("text")))).alias("e")).distinct()
         used = used.withColumn("kind", kind_of(F.col("e"))).withColumn("norm", norm_of(F.col("e"), F.col("kind"))).join(again, ["kind", "norm"])
-        maps = used.groupBy("__t1", "__t2").agg(F.map_from_entries(F.collect_list(F.struct("e", "tweak"))).alias("__tweaks"))  # entities of one text
-        with_tweaks = docs.withColumns(keys).join(maps, ["__t1", "__t2"], "left")
-    found = with_tweaks.withColumn("__e", entities_of(F.col("text")))
+        maps = used.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("e", "tweak"))).alias("tweaks"))  # entities of one text
+        with_tweaks = held.withColumns(keys).join(maps, ["t1", "t2"], "left")
 
     def told(e: Column) -> Column:
-        return F.struct(e.alias("e"), kind_of(e).alias("kind"), F.coalesce(F.get(F.map_values(F.map_filter("__tweaks", lambda k, _: k == e)), F.lit(0)), F.lit(0)).alias("tweak"))
-
-    new = F.transform(F.transform("__e", told), lambda x: surrogate(x["e"], x["kind"], x["tweak"], key))
-    pieces = F.zip_with(F.split("text", ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    text = F.when(F.size("__e") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    done = found.withColumn("__new", text)
-    return done.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in own], F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("__e")), F.lit(0)).cast("long").alias("n_entities"))
+        return F.struct(e.alias("e"), kind_of(e).alias("kind"), F.coalesce(F.get(F.map_values(F.map_filter("tweaks", lambda k, _: k == e)), F.lit(0)), F.lit(0)).alias("tweak"))
+
+    found = with_tweaks.withColumn("e", F.transform(entities_of(F.col("text")), told))
+    new = F.transform("e", lambda x: surrogate(x["e"], x["kind"], x["tweak"], key))
+    # Later mentions of a name's parts alone, outside the entities.
+    people = F.filter("e", lambda x: (x["kind"] == "name") & (x["tweak"] >= 0))
+    parts = F.flatten(F.transform(people, lambda x: F.transform(F.split(F.regexp_replace(x["e"], rf"^{_TITLE}\.? ", ""), " "), lambda w: F.struct(w.alias("w"), _part(w, x["tweak"], key).alias("s")))))
+
+    def renamed(piece: Column) -> Column:
+        return F.aggregate(F.array_distinct(parts), piece, lambda t, p: F.when(t.contains(p["w"]), F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])\Q"), p["w"], F.lit(r"\E(?![\p{L}-])")), p["s"])).otherwise(t))
+
+    between = F.split("text", ANY, -1)
+    between = F.when(F.exists("e", lambda x: x["kind"] == "name"), F.transform(between, renamed)).otherwise(between)
+    pieces = F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    text = F.when(F.size("e") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
+    n = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("e")), F.lit(0)).cast("long")
+    done = found.select("r", text.alias("new"), n.alias("n"))
+    return done.select(*named(docs, "r", {"text": F.col("new")}), F.col("n").alias(free_names(docs.columns, ["n_entities"])["n_entities"]))

@@ -42,7 +42,9 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """The key is the session's spark.ledgerspark.surrogate.key; without one, that of synthetic test data."""
+    key = spark.conf.get("spark.ledgerspark.surrogate.key", "for synthetic data only")
+    return replace_entities(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = lm_scoring.train(docs.where(~lm_scoring.held_out()))
-    return lm_scoring.score(docs, model).withColumns({"held_out": lm_scoring.held_out(), "train_tokens": F.lit(model.tokens).cast("long")})
+    scored = lm_scoring.score(docs, model)
+    return scored.select("doc_id", lm_scoring.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

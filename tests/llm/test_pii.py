@@ -3,6 +3,7 @@ import re
 from ledgerspark.llm.pii import replace_entities
 from tests.llm.helpers import awkward, docs_of, empty
 
+KEY = "a key"
 TEXTS = [
     "Write to Hein.19@mail5.example.com or hein.19@MAIL5.example.com, from 8.196.197.208.", "Card 4539578763621486 or 4539 5787 6362 1486; not 4539578763621487.", "Call +1 (564) 555-4526 today, 078-05-1120 or 415-555-2671.",
     "Frau Petra Müller met Mr. Smith and Mrs Smith. Господин Иванов came.", "Nothing here, 12.5 and 1.2.3.4.5", "hein.19@mail5.example.com 10.0.0.1 10.0.0.2",
@@ -15,7 +16,7 @@ def luhn(s):
 
 
 def test_formats_and_coreference(spark):
-    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in replace_entities(docs_of(spark, TEXTS)).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in replace_entities(docs_of(spark, TEXTS), KEY).collect()}
     mails = re.findall(r"[\w.]+@[\w.]+(?=[ ,])", got[0][0])
     assert mails[0].lower() == mails[1].lower()
     assert mails[0] != mails[1]
@@ -38,7 +39,7 @@ def test_formats_and_coreference(spark):
 def test_many_entities_stay_distinct(spark):
     """Every address of a small net is there, so surrogates do meet real ones and are drawn again."""
     texts = [f"10.{i // 64}.{i % 64}.7 {i:03d}-55-0000" for i in range(300)]
-    got = replace_entities(docs_of(spark, texts)).collect()
+    got = replace_entities(docs_of(spark, texts), KEY).collect()
     new = [w for r in got for w in r["text"].split()]
     old = {w for t in texts for w in t.split()}
     assert len(set(new)) == len(new) == 600
@@ -51,6 +52,33 @@ def test_key_matters(spark):
 
 
 def test_awkward_rows(spark):
-    got = replace_entities(awkward(spark)).collect()
+    got = replace_entities(awkward(spark), KEY).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None and r["text"]) == sorted((r["doc_id"], r["text"]) for r in awkward(spark).collect() if r["doc_id"] is not None and r["text"])
-    assert replace_entities(empty(spark)).count() == 0
+    assert replace_entities(empty(spark), KEY).count() == 0
+
+
+def test_parts_of_a_name_alone(spark):
+    """A surname without its title, in the same text, gets the same surrogate; words that hold it, and other texts, stay."""
+    texts = ["Mr. Anna Smith came. Smith, they say, is no Smithson; Anna knows. Dr. Smith too.", "Smith is a trade."]
+    got = {r["doc_id"]: r["text"] for r in replace_entities(docs_of(spark, texts), KEY).collect()}
+    first, last = re.match(r"Mr\. (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mr. {first} {last} came. {last}, they say, is no Smithson; {first} knows. Dr. {last} too."
+    assert {first, last}.isdisjoint({"Anna", "Smith"})
+    assert got[1] == texts[1]
+
+
+def test_formats_without_a_free_surrogate(spark):
+    """All names of a form are taken, or its letters have no class: placeholders, distinct and the same for equal names."""
+    names = [f"Mr {c}o" for c in "BCDFGHJKLMNPQRSTVWXZ"] + ["Mr \u0531\u0561"]
+    got = {r["doc_id"]: r["text"] for r in replace_entities(docs_of(spark, [*names, names[0]]), KEY).collect()}
+    assert len({got[i] for i in range(len(names))}) == len(names)
+    assert not set(got.values()) & set(names)
+    assert got[len(names)] == got[0]
+    assert got[len(names) - 1].startswith("<name-")
+
+
+def test_columns_that_clash(spark):
+    docs = docs_of(spark, TEXTS).selectExpr("*", "'mine' as n_entities", "'t' as t1")
+    got = replace_entities(docs, KEY)
+    assert got.columns == [*docs.columns, "_n_entities"]
+    assert {(r["n_entities"], r["t1"]) for r in got.collect()} == {("mine", "t")}
