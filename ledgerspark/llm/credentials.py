@@ -13,7 +13,8 @@ A credential never spans texts, so the join is a sweep over each text's sorted p
 mapInArrow: no shuffle, and time in proportion to the text.
 
 Edge cases: null and empty texts have no spans (the digest of the empty string); repeated
-rows give repeated results; other columns of the input are not read.
+rows give repeated results; spans of one start are told in the order of kinds; very long texts are scanned whole;
+an empty table gives an empty one; other columns of the input, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def told(spans: list[Span]) -> str:
 
 def find_credentials(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans."""
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, n_linked long, spans string"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +136,9 @@ def find_credentials(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base, every = scan(text, radius)
                 n = [sum(k == x for _, x, _ in base) for k in range(3)]
-                rows.append((doc_id, *n, hashlib.sha256(told(base).encode()).hexdigest(), len(every) - len(base), told(every)))
+                rows.append((doc_id, *n, hashlib.sha256(told(base).encode()).hexdigest(), told(every), len(every) - len(base)))
             names = [x.split()[0] for x in schema.split(", ")]
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.string()]
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)

@@ -105,6 +105,11 @@ def unpack_keys(high: bytes, low: bytes) -> np.ndarray:
     return (np.cumsum(unpack(high, np.uint32), dtype=np.uint64) << np.uint64(32)) | unpack(low, np.uint32)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as all of them fit in."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 def save(folder: str, name: str, x: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
@@ -281,7 +286,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
         once = counts == 1
         save(folder, f"once{s}", keys[once])
         save(folder, f"more{s}", keys[~once])
-        save(folder, f"n{s}", counts[~once].astype(np.uint32))
+        save(folder, f"n{s}", narrow(counts[~once]))
         rows: list[tuple] = [(-1, "n", b"", _ways(counts).astype(np.int64).tobytes(), np.int64(len(keys)).tobytes(), b"", b"")]
         left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         u, c, n1, n2, n3 = summed(left, counts, once.astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
@@ -292,7 +297,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
                 if bounds[t] < bounds[t + 1]:
                     cut = slice(bounds[t], bounds[t + 1])
                     own = (ids[cut] - offsets[t]).astype(np.uint32)
-                    packed = [pack(v[cut].astype(np.uint32)) for v in values] + [b""] * (4 - len(values))
+                    packed = [pack(v[cut].astype(np.int64)) for v in values] + [b""] * (4 - len(values))
                     rows.append((t, kind, pack(np.diff(own, prepend=np.uint32(0))), *packed))
         kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
@@ -306,9 +311,9 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
             for row in table.to_pylist():
                 ids = np.cumsum(unpack(row["ids"], np.uint32), dtype=np.int64)
                 for k, f in zip(("ctx", "one", "two", "many") if row["kind"] == "u" else ("cont",), "abcd", strict=False):
-                    out[k][ids] += unpack(row[f], np.uint32)
+                    out[k][ids] += unpack(row[f], np.int64)
             for k, v in out.items():
-                save(folder, f"{k}{s}", v.astype(np.uint32) if v.max(initial=0) < 1 << 32 else v)
+                save(folder, f"{k}{s}", narrow(v))
             total[:4], total[4] = _ways(out["cont"]), (out["cont"] > 2).sum()
         else:
             for row in table.to_pylist():
