@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: From this magnitude on, as for NaN and infinities, a number is no amount.
+MOST = 1e13
+
+
 def cents(x: Column) -> Column:
-    """Whole cents, half away from zero. Their sums are exact and stay in generated code, unlike wide decimals."""
-    return F.when(x >= 0, F.floor(x * 100 + 0.5)).otherwise(-F.floor(-x * 100 + 0.5)).cast("bigint")
+    """Whole cents, half away from zero. Their sums are exact and stay in generated code, unlike wide decimals.
+
+    What is no amount counts 0, so that one such row neither fails nor spoils a sum; ``reject_reason`` names these rows. Null stays null.
+    """
+    whole = F.when(x >= 0, F.floor(x * 100 + 0.5)).otherwise(-F.floor(-x * 100 + 0.5))
+    return F.when(F.abs(x) < MOST, whole).when(x.isNotNull(), F.lit(0)).cast("bigint")
 
 
 def units(c: Column) -> Column:

@@ -34,9 +34,41 @@ def emi(principal: Column, rate_pct: Column, months: Column) -> Column:
     return F.when(r > 0, principal * r * grown / F.nullif(grown - 1, F.lit(0.0))).otherwise(F.try_divide(principal, months))
 
 
+#: Smallest step of a double at one; rates and growths below it count as none.
+EPSILON = 2.0**-52
+
+
+def finite(x: Column) -> Column:
+    """Whether a number is given and neither NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+
+
 def emi_error(principal: Column, rate_pct: Column, months: Column) -> Column:
-    """Error code of the strict variant, in its order of checks; null if valid."""
-    return F.when(principal <= 0, F.lit("InvalidPrincipal")).when(rate_pct <= 0, F.lit("InvalidRate")).when(months <= 0, F.lit("InvalidTenure"))
+    """Error code of the strict variant, in its order of checks; null if valid. Missing inputs are invalid ones."""
+    r = rate_pct / 12 / 100
+    growth = F.pow(1 + r, months) - 1
+    value = principal * r * (growth + 1) / F.nullif(growth, F.lit(0.0))
+    rate = ~F.coalesce(rate_pct > 0, F.lit(False)) | (F.abs(r) < EPSILON)
+    tenure = ~F.coalesce(months > 0, F.lit(False))
+    return (
+        F.when(~F.coalesce(principal > 0, F.lit(False)), F.lit("InvalidPrincipal")).when(~F.coalesce(rate_pct > 0, F.lit(False)), F.lit("InvalidRate")).when(tenure, F.lit("InvalidTenure"))
+        .when(rate | (F.abs(growth) < EPSILON), F.lit("InvalidRate")).when(~finite(value) | (value <= 0), F.lit("InvalidEmi"))
+    )
+
+
+def valid_emi_input(principal: Column, rate_pct: Column, months: Column) -> Column:
+    """Whether all three are finite and above zero, and the months whole."""
+    whole = F.coalesce(months.cast("double") == F.floor(months.cast("double")), F.lit(False))
+    return finite(principal) & finite(rate_pct) & finite(months) & F.coalesce((principal > 0) & (rate_pct > 0) & (months > 0), F.lit(False)) & whole
+
+
+def emi_or_zero(principal: Column, rate_pct: Column, months: Column) -> Column:
+    """Instalment of a form: 0 where an input is missing or zero, or the result not finite."""
+    given = F.coalesce(principal, F.lit(0.0)) != 0
+    for x in (rate_pct, months):
+        given = given & (F.coalesce(x.cast("double"), F.lit(0.0)) != 0)
+    value = F.when(given, emi(principal, rate_pct, months))
+    return F.when(finite(value), value).otherwise(F.lit(0.0))
 
 
 def round_half_up(x: Column, places: int = 2) -> Column:

@@ -69,6 +69,16 @@ def trend_start(as_of: datetime | str, span: str) -> Column:
     return at(as_of) - F.expr(spans[span])
 
 
+def strict(text: Column) -> Column:
+    """The time of a text; a text that holds none is an error of the query."""
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(F.try_to_timestamp(text), F.raise_error(F.concat(F.lit("not a time: "), text)))).cast("timestamp_ntz")
+
+
+def period_days(later: Column, earlier: Column) -> Column:
+    """Whole days of a period, 1 at least."""
+    return F.greatest(F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000)).cast("bigint"), F.lit(1))
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Whole 24-hour spans between, truncated towards zero."""
     micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))

@@ -22,6 +22,16 @@ def by_period(tx: DataFrame, key: Column, by: By = ()) -> DataFrame:
     return tx.where("ts is not null").groupBy(*by, key.alias("period")).agg(*sums())
 
 
+def in_order(found: DataFrame, by: By = ()) -> DataFrame:
+    """Periods ascending as text, so that "Group 10" stands before "Group 2"; within `by`."""
+    return found.orderBy(*by, "period")
+
+
+def drift_in_order(found: DataFrame, by: By = ()) -> DataFrame:
+    """The largest change first, ties by category; within `by`."""
+    return found.orderBy(*by, F.desc("change_pct"), "category")
+
+
 def interval_profile(tx: DataFrame, minutes: int, by: By = ()) -> DataFrame:
     """Profile over the hours of a day; the date is no part of the key."""
     return by_period(tx, periods.minute_label(F.col("ts"), minutes), by)
@@ -123,14 +133,52 @@ def category_drift(tx: DataFrame, split: str, by: By = ()) -> DataFrame:
     return sides.where("prev > 0 and cur is not null").select(*by, "category", F.round(change, 6).alias("change_pct"))
 
 
+#: Buckets of one pass that looks for a value of a rank.
+BUCKETS = 4096
+
+
+def _at_rank(df: DataFrame, x: Column, rank: int, low: float, high: float) -> float:
+    """The value of a rank from 0 on, by passes that each keep one of BUCKETS buckets: counts go to the driver, never values."""
+    while low < high:
+        width = (high - low) / BUCKETS
+        bucket = F.least(F.floor((x - low) / width), F.lit(BUCKETS - 1)) if width > 0 else (x > low).cast("bigint")
+        inside = df.where(x.between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for r in sorted(inside.collect(), key=lambda r: r["b"]):  # BUCKETS rows at most
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
+def global_median(df: DataFrame, x: Column) -> float | None:
+    """The exact median of finite values, without gathering them."""
+    n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+    ranks = {(n - 1) // 2, n // 2}
+    return sum(_at_rank(df, x, r, low, high) for r in ranks) / len(ranks)
+
+
+def _global_outliers(clean: DataFrame, threshold: float) -> DataFrame:
+    centre = global_median(clean, F.col("price"))
+    if centre is None or clean.limit(2).count() < 2:
+        return clean.where("false")
+    off = F.abs(F.col("price") - centre)
+    spread = global_median(clean, off)
+    return clean.where(off / spread > threshold) if spread and spread > 0 else clean.where("false")
+
+
 def mad_outliers(tx: DataFrame, threshold: float, by: By = ()) -> DataFrame:
     """Rows whose distance from the median exceeds threshold times the median distance; none under two values or without spread."""
     clean = tx.where("price is not null and not isnan(price)")
+    if not by:
+        return _global_outliers(clean.where(F.abs("price") < float("inf")), threshold)
     centre = clean.groupBy(*by).agg(F.median("price").alias("__med"), F.count("*").alias("__n")).where("__n >= 2")
     off = F.abs(F.col("price") - F.col("__med"))
-    joined = clean.join(centre, list(by)) if by else clean.crossJoin(F.broadcast(centre))  # one row
+    joined = clean.join(centre, list(by))
     spread = joined.groupBy(*by).agg(F.median(off).alias("__mad")).where("__mad > 0")
-    both = joined.join(spread, list(by)) if by else joined.crossJoin(F.broadcast(spread))  # one row
+    both = joined.join(spread, list(by))
     return both.where(off / F.col("__mad") > threshold).drop("__med", "__n", "__mad")
 
 
@@ -155,9 +203,14 @@ def page(tx: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
     return tx.orderBy(F.desc("ts"), "tx_id").offset((max(number, 1) - 1) * size).limit(size)
 
 
-def search(tx: DataFrame, text: str, columns: By = ("description", "category")) -> DataFrame:
-    """Rows where any of the columns contains the text, case aside."""
+def overspent(balances: DataFrame, budget: float) -> DataFrame:
+    """Balances with a flag where they lie below the budget as a debt."""
+    return balances.withColumn("overspent", F.col("balance") < -budget)
+
+
+def search(tx: DataFrame, text: str, columns: By = ("name", "description", "category")) -> DataFrame:
+    """Rows where any of the columns that tx has contains the text, case aside."""
     hit = F.lit(False)
-    for c in columns:
+    for c in (c for c in columns if c in tx.columns):
         hit = hit | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
     return tx.where(hit)

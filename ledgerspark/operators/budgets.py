@@ -30,12 +30,14 @@ def overlapping(budgets: DataFrame, new: DataFrame, as_of: str, how: str = "left
 
 def spend_in_period(budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:
     """budget_id and what was spent in its scope and time; open ends count to as_of; none is 0."""
-    b = budgets.alias("b")
-    t = tx.where("price < 0").select("user_id", F.col("category").alias("t_category"), "ts", "price").alias("t")
-    inside = F.col("t.ts").between(F.col("b.start_date"), F.coalesce("b.end_date", periods.at(as_of)))
-    scope = (F.col("b.category") == OVERALL) | (F.col("t.t_category") == F.col("b.category"))
-    joined = b.join(t, (F.col("b.user_id") == F.col("t.user_id")) & inside & scope, "left")
-    return joined.groupBy("b.budget_id").agg(F.coalesce(total_of(-F.col("t.price")), F.lit(0.0)).alias("spent"))
+    b = budgets.select("budget_id", "user_id", "category", "start_date", F.coalesce("end_date", periods.at(as_of)).alias("until")).alias("b")
+    # Summed by instant and scope first, so that both keys join and no pair of a user's rows meets in vain.
+    sums = tx.where("price < 0").groupBy("user_id", "category", "ts").agg(F.sum(-cents(F.col("price"))).alias("s"))
+    scopes = F.array_distinct(F.array(F.coalesce("category", F.lit(OVERALL)), F.lit(OVERALL)))
+    t = sums.select("user_id", F.explode(scopes).alias("scope"), "ts", "s").alias("t")
+    inside = F.col("t.ts").between(F.col("b.start_date"), F.col("b.until"))
+    joined = b.join(t, (F.col("b.user_id") == F.col("t.user_id")) & (F.col("b.category") == F.col("t.scope")) & inside, "left")
+    return joined.groupBy("b.budget_id").agg(F.coalesce(units(F.sum("t.s")), F.lit(0.0)).alias("spent"))
 
 
 def spend_by_scope(tx: DataFrame) -> DataFrame:
@@ -87,20 +89,22 @@ def daily_expense_stats(tx: DataFrame, by: tuple[str, ...] = ("user_id",)) -> Da
 def breach(stats: DataFrame, budget: float, horizon: int, simulations: int = 2000, seed: int = 42) -> DataFrame:
     """Monte-Carlo of daily spend over the horizon: probability of a breach, expected spend, median first day of breach.
 
-    stats: mean and std of each `user_id`. Draws are normal by hashes of (user, simulation, day, seed),
-    so that a seed gives the same result on any cluster. Sampling is the feature.
+    stats: mean and std of each `user_id`, null without expenses, which gives 0, 0 and no day. Draws are normal by hashes of
+    (user, simulation, day, seed), so that a seed gives the same result on any cluster. Sampling is the feature. The days
+    of a run are added up within its row, and runs are summed where their user's row lies.
     """
+    def uniform(day: Column, label: int) -> Column:
+        return (F.pmod(F.xxhash64("user_id", "sim", day, F.lit(seed), F.lit(label)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
 
-    def uniform(label: int) -> Column:
-        return (F.pmod(F.xxhash64("user_id", "sim", "day", F.lit(seed), F.lit(label)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    def step(s: Column, day: Column) -> Column:
+        normal = F.sqrt(-2 * F.log(uniform(day, 1))) * F.cos(2 * F.pi() * uniform(day, 2))
+        total = s["total"] + F.greatest(F.col("mean") + F.col("std") * normal, F.lit(0.0))
+        return F.struct(total.alias("total"), F.when(s["first"].isNull() & (total > budget), day).otherwise(s["first"]).alias("first"))
 
     sims = stats.select("user_id", "mean", "std", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    drawn = sims.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(horizon, 1) - 1))).alias("day"))
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-    spend = drawn.select("user_id", "sim", "day", F.greatest(F.col("mean") + F.col("std") * normal, F.lit(0.0)).alias("x"))
-    order = Window.partitionBy("user_id", "sim").orderBy("day")
-    total = spend.withColumn("cum", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = total.groupBy("user_id", "sim").agg(F.max("cum").alias("spent"), F.min(F.when(F.col("cum") > budget, F.col("day"))).alias("first"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("first"))
+    run = F.when(F.col("mean").isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(max(horizon, 1) - 1)), start, step))
+    each = sims.select("user_id", run.alias("r")).select("user_id", F.coalesce("r.total", F.lit(0.0)).alias("spent"), F.col("r.first").alias("first"))
     hits = F.sort_array(F.collect_list("first"))  # at most one for each run
     return each.groupBy("user_id").agg(F.avg((F.col("spent") > budget).cast("double")).alias("breach_probability"), F.avg("spent").alias("expected_spend"), F.get(hits, F.floor(F.size(hits) / 2).cast("int")).alias("p50_days_to_breach"))
 
@@ -109,8 +113,10 @@ def affordability(requests: DataFrame, budgets: DataFrame, tx: DataFrame, as_of:
     """Verdict on an instalment for many requests at once.
 
     requests: req_id, user_id, category, principal, rate_pct, months (rupees). The user's active budget
-    of the category is taken, else the overall one; without any the instalment is affordable.
+    of the category (trimmed; none is the overall one) is taken, else the overall one; without any the instalment is
+    affordable. All instalments of the loan, and what is spent, must fit the budget.
     """
+    requests = requests.withColumn("category", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(OVERALL)))
     emi = finance.emi_paise(finance.to_paise(F.col("principal")), F.col("rate_pct"), F.col("months"))
     active = budgets.where(_active(F.col("start_date"), F.col("end_date"), periods.at(as_of)))
     latest = Window.partitionBy("user_id", "category").orderBy(F.desc("start_date"), "budget_id")
@@ -121,7 +127,7 @@ def affordability(requests: DataFrame, budgets: DataFrame, tx: DataFrame, as_of:
     spent = spend_in_period(active, tx, as_of).select(F.col("budget_id").alias("__spent_on"), "spent")
     found = found.join(spent, F.col("b.budget_id") == F.col("__spent_on"), "left")
     limit, used = finance.to_paise(F.col("b.amount")), finance.to_paise(F.coalesce("spent", F.lit(0.0)))
-    projected = finance.projected_spend(F.col("emi"), F.lit(1), used)
+    projected = finance.projected_spend(F.col("emi"), F.col("months"), used)
     usage = finance.usage_pct(projected, limit)
     none = F.col("b").isNull()
     return found.select(

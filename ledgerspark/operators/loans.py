@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import finance
-from ledgerspark.operators.planning import _with_rules
+from ledgerspark.operators.planning import MOST_RULES, _with_rules
 
 
 def tax_by_domain(amounts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -29,7 +29,14 @@ def policy_error(emi: Column, income: Column, max_pct: Column, surplus_pct: Colu
     )
 
 
-def assess_loans(requests: DataFrame) -> DataFrame:
+def by_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
+    """Each request under each policy of a small table, in one pass over the requests."""
+    if policies.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"policy tables hold {MOST_RULES} rows at most")
+    return requests.crossJoin(F.broadcast(policies))
+
+
+def assess_loans(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """requests: req_id, monthly_income, existing_emi, requested_emi, credit_score, purpose, is_joint, and the policy's
     max_emi_percent, min_surplus_percent, joint_borrowers, allow_business, allow_personal.
 
@@ -47,7 +54,7 @@ def assess_loans(requests: DataFrame) -> DataFrame:
     )
     x = requests.withColumns({"error_code": error, "__most": most, "__risk": risk})
     ok = F.col("error_code").isNull()
-    return x.select("req_id", ok.alias("approved"), F.round(F.when(ok, F.col("__most")).otherwise(0.0), 4).alias("max_allowed_emi"), F.when(ok, F.col("__risk")).otherwise(0.7).alias("risk_score"), F.coalesce("error_code", F.lit("Approved")).alias("reason"))
+    return x.select("req_id", *keep, ok.alias("approved"), F.round(F.when(ok, F.col("__most")).otherwise(0.0), 4).alias("max_allowed_emi"), F.when(ok, F.col("__risk")).otherwise(0.7).alias("risk_score"), F.coalesce("error_code", F.lit("Approved")).alias("reason"))
 
 
 def emergency_funds(people: DataFrame) -> DataFrame:

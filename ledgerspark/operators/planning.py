@@ -1,8 +1,8 @@
 """Allocation planners: minimums in rule order, then the rest down the priorities up to each cap.
 
-Closed form by two running sums over each entity's few rules; entities are only shuffled by the
-window over (id, profile). Rule tables are small by nature (a few rows a profile) and broadcast after
-their row count is checked.
+All bounds are percents of an entity's amount, so each rule's share of it is the same for every entity of a profile: shares
+follow once from the rule table, by two running sums over its few rules, and go to the entities by broadcast. Entities
+are never shuffled. Rule tables are small by nature (a few rows a profile); their row count is checked.
 """
 
 from __future__ import annotations
@@ -22,54 +22,55 @@ def _with_rules(entities: DataFrame, rules: DataFrame) -> DataFrame:
     return entities.join(F.broadcast(rules), "profile") if "profile" in entities.columns else entities.crossJoin(F.broadcast(rules))
 
 
-def _waterfall(joined: DataFrame, amount: Column, low: Column, high: Column) -> DataFrame:
-    """base, space, alloc and left for rows (id, profile, rule)."""
-    own = Window.partitionBy("id", "profile")
+def _shares(rules: DataFrame, low: Column) -> DataFrame:
+    """rules with low, base, share (all as parts of an amount) and over: what no rule takes."""
+    own = Window.partitionBy("profile")
     before = own.orderBy("rule_idx").rowsBetween(Window.unboundedPreceding, -1)
     ranked = own.orderBy(F.desc("priority"), "rule_idx").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    x = joined.withColumns({"__amount": amount, "__low": low, "__high": high})
-    x = x.withColumn("base", F.least("__low", F.greatest(F.col("__amount") - F.coalesce(F.sum("__low").over(before), zero), zero)))
-    x = x.withColumns({"left": F.col("__amount") - F.sum("base").over(own), "space": F.greatest(F.col("__high") - F.col("base"), zero)})
+    x = rules.withColumns({"low": low, "high": F.col("max_percent") / 100})
+    x = x.withColumn("base", F.least("low", F.greatest(1 - F.coalesce(F.sum("low").over(before), zero), zero)))
+    x = x.withColumns({"left": 1 - F.sum("base").over(own), "space": F.greatest(F.col("high") - F.col("base"), zero)})
     add = F.greatest(zero, F.least("space", F.col("left") - F.coalesce(F.sum("space").over(ranked), zero)))
-    return x.withColumns({"alloc": F.col("base") + add, "over": F.col("left") - F.sum("space").over(own)})
+    return x.withColumns({"share": F.col("base") + add, "over": F.col("left") - F.sum("space").over(own)})
 
 
-def _percent(c: str) -> Column:
-    return F.col("amount") * F.col(c) / 100
+def _some(c: Column) -> Column:
+    return F.max(c.cast("int")).over(Window.partitionBy("profile")) == 1
 
 
 def plan_budget(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """entities: id, amount (monthly income). One row a category: allocation, or an error code and null."""
-    x = _waterfall(_with_rules(entities, rules), F.greatest("amount", F.lit(0.0)), _percent("min_percent"), _percent("max_percent"))
-    own = Window.partitionBy("id", "profile")
-    error = F.when(F.col("amount") <= 0, F.lit("InvalidIncome")).when(F.sum("min_percent").over(own) > 100, F.lit("AllocationError")).when(F.max((F.col("min_percent") > F.col("max_percent")).cast("int")).over(own) == 1, F.lit("ProfileInvariantViolated"))
-    return _told(x, error)
+    x = _shares(rules, F.col("min_percent") / 100)
+    total = F.sum("min_percent").over(Window.partitionBy("profile"))
+    x = x.withColumn("rule_error", F.when(total > 100, F.lit("AllocationError")).when(_some(F.col("min_percent") > F.col("max_percent")), F.lit("ProfileInvariantViolated")))
+    return _told(entities, x, "InvalidIncome")
 
 
 def plan_cashflow(entities: DataFrame, rules: DataFrame, fixed: tuple[str, ...] = ()) -> DataFrame:
     """Fixed-ratio profiles give each minimum percent; others are filled by priority, minimums held to their caps."""
-    low = F.least(_percent("min_percent"), _percent("max_percent"))
-    x = _waterfall(_with_rules(entities, rules), F.greatest("amount", F.lit(0.0)), low, _percent("max_percent"))
-    x = x.withColumn("alloc", F.when(F.col("profile").isin(*fixed), _percent("min_percent")).otherwise(F.col("alloc"))) if fixed else x
-    return _told(x, F.when(F.col("amount") <= 0, F.lit("InvalidIncome")))
+    x = _shares(rules, F.least("min_percent", "max_percent") / 100)
+    x = x.withColumn("share", F.when(F.col("profile").isin(*fixed), F.col("min_percent") / 100).otherwise(F.col("share"))) if fixed else x
+    return _told(entities, x.withColumn("rule_error", F.lit(None).cast("string")), "InvalidIncome")
 
 
 def plan_investment(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """Strict: everything must be allocated; what caps leave over is an error."""
-    x = _waterfall(_with_rules(entities, rules), F.greatest("amount", F.lit(0.0)), _percent("min_percent"), _percent("max_percent"))
-    own = Window.partitionBy("id", "profile")
-
-    def some(c: Column) -> Column:
-        return F.max(c.cast("int")).over(own) == 1
-
-    slack = F.abs("amount") * SLACK
+    x = _shares(rules, F.col("min_percent") / 100)
     error = (
-        F.when(F.col("amount") <= 0, F.lit("InvalidAmount")).when(some((F.col("min_percent") < 0) | (F.col("max_percent") < 0)), F.lit("InvalidPercentage"))
-        .when(some(F.col("min_percent") > F.col("max_percent")), F.lit("ProfileInvariantViolated")).when(some(F.col("base") < F.col("__low") - slack), F.lit("AllocationOverflow"))
-        .when(F.col("over") > slack, F.lit("AllocationOverflow"))
+        F.when(_some((F.col("min_percent") < 0) | (F.col("max_percent") < 0)), F.lit("InvalidPercentage"))
+        .when(_some(F.col("min_percent") > F.col("max_percent")), F.lit("ProfileInvariantViolated")).when(_some(F.col("base") < F.col("low") - SLACK), F.lit("AllocationOverflow"))
+        .when(F.col("over") > SLACK, F.lit("AllocationOverflow"))
     )
-    return _told(x, error)
+    return _told(entities, x.withColumn("rule_error", error), "InvalidAmount")
+
+
+def assets(plan: DataFrame, split: DataFrame) -> DataFrame:
+    """plan by goal as amounts by asset. split: profile, key, asset, asset_percent (a small table); goals without a split drop out."""
+    if split.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"split tables hold {MOST_RULES} rows at most")
+    rows = plan.where("error_code is null").join(F.broadcast(split), ["profile", "key"])
+    return rows.select("id", "profile", "key", "asset", F.round(F.col("amount") * F.col("asset_percent") / 100, 4).alias("amount"))
 
 
 def lenient(plan: DataFrame) -> DataFrame:
@@ -77,6 +78,7 @@ def lenient(plan: DataFrame) -> DataFrame:
     return plan.where("error_code is null")
 
 
-def _told(x: DataFrame, error: Column) -> DataFrame:
-    done = x.withColumn("error_code", error)
-    return done.select("id", "profile", "key", F.when(F.col("error_code").isNull(), F.round("alloc", 4)).alias("amount"), "error_code")
+def _told(entities: DataFrame, shares: DataFrame, invalid: str) -> DataFrame:
+    x = _with_rules(entities, shares)
+    done = x.withColumn("error_code", F.when(F.col("amount") <= 0, F.lit(invalid)).otherwise(F.col("rule_error")))
+    return done.select("id", "profile", "key", F.when(F.col("error_code").isNull(), F.round(F.col("amount") * F.col("share"), 4)).alias("amount"), "error_code")

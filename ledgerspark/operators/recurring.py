@@ -34,6 +34,19 @@ def next_templates(templates: DataFrame, as_of: str) -> DataFrame:
     return due.select("tx_id", periods.at(as_of).alias("last_generated_at"), left.alias("tenure_months"), (~ended).alias("is_recurring"), F.when(~ended, F.col("recurring_frequency")).alias("recurring_frequency"))
 
 
+def updated_templates(templates: DataFrame, as_of: str) -> DataFrame:
+    """The whole template table after generation: the due ones changed, the others as they were. tx_id, last_generated_at, tenure_months, is_recurring, recurring_frequency."""
+    due = next_templates(templates, as_of).select("tx_id", F.struct("last_generated_at", "tenure_months", "is_recurring", "recurring_frequency").alias("new"))
+    old = F.struct("last_generated_at", F.col("emi_meta.tenure_months").alias("tenure_months"), F.col("recurring_frequency").isNotNull().alias("is_recurring"), "recurring_frequency")
+    return templates.select("tx_id", old.alias("old")).join(due, "tx_id", "left").select("tx_id", F.coalesce("new", "old").alias("t")).select("tx_id", "t.*")
+
+
+def extended_history(history: DataFrame, templates: DataFrame, as_of: str) -> DataFrame:
+    """history (user_id, ts, price, category, is_recurring) with the new instances."""
+    new = generate(templates, as_of)
+    return history.unionByName(new.select(*history.columns))
+
+
 def cashflow_forecast(templates: DataFrame, as_of: str, horizon_days: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of recurring series from now to the horizon, by date: income, expense, net.
 

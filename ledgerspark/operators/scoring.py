@@ -70,3 +70,8 @@ def similarity(pairs: DataFrame, metric: str) -> DataFrame:
         raise ValueError(f"metric must be one of {sorted(METRICS)}")
     value = METRICS[metric](F.col("a"), F.col("b"))
     return pairs.select("a_id", "b_id", F.round(value, 6).alias("score"), F.when(value.isNull(), F.lit("InvalidInput")).alias("error_code"))
+
+
+def tax_targets(rules: DataFrame) -> DataFrame:
+    """Target of the effective tax rate by profile: all its rules' rates, disabled ones too."""
+    return rules.groupBy("profile").agg(F.sum("rate_percent").alias("target"))

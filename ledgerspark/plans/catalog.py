@@ -240,6 +240,48 @@ def delete_transactions(spark: SparkSession, d: str) -> DataFrame:
     return writers.delete(tx, tx.where("tx_id % 10 = 3"))
 
 
+@query(f"select tx_id, user_id, price from {TXO} where tx_id = 7 and user_id = (select min(user_id) from {TXO} where tx_id = 7)")
+def transaction_of_owner(spark: SparkSession, d: str) -> DataFrame:
+    tx = T.order_transactions(spark, d)
+    owner = tx.where("tx_id = 7").agg(F.min("user_id")).first()[0]
+    return T.owned(tx, 7, -1 if owner is None else owner).select("tx_id", "user_id", "price")
+
+
+@query(f"select tx_id, user_id, case when price > 0 then 'Income' else 'Expense' end kind, '₹' || printf('%.2f', abs(price)) amount, strftime(ts, '%Y-%m-%d') date, category, description from {TXO}")
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    return T.receipts(T.order_transactions(spark, d))
+
+
+@query("select c_custkey id, case when c_custkey % 3 = 0 then 'missing_name' when c_custkey % 5 = 0 then 'missing_message' end reason from customer")
+def feedback_checked(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    x = T.table(spark, d, "customer").select(key.alias("id"), F.when(key % 3 != 0, F.col("c_name")).alias("name"), F.lit("a@b").alias("email"), F.when(key % 5 == 0, "  ").otherwise("hello").alias("message"))
+    return x.select("id", T.feedback_error().alias("reason"))
+
+
+@query(f"select strftime(ts, '%G-W%V') period, {SUMS} from {TXO} group by 1 order by 1")
+def trend_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return A.in_order(A.trend(T.order_transactions(spark, d), "weekly"))
+
+
+@query(f"""with d as (select strftime(ts, '%Y-%m-%d') p, {SUMS} from {TXE} group by 1), n as (select *, (row_number() over (order by p) - 1) // 2 + 1 g from d)
+select cast(g as bigint) group_idx, 'Group ' || g period, cast(sum(cast(income as decimal(18,2))) as double) income, cast(sum(cast(expense as decimal(18,2))) as double) expense, cast(sum(cast(total as decimal(18,2))) as double) total from n group by 1, 2 order by 2""")
+def day_groups_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return A.in_order(A.day_groups(T.event_transactions(spark, d), 2))
+
+
+@query(f"""select category, round((c - p) / p * 100, 6) change_pct from (select category, cast(sum(case when ts < timestamp '1998-01-01' then cast(abs(price) as decimal(18,2)) end) as double) p,
+cast(sum(case when ts >= timestamp '1998-01-01' then cast(abs(price) as decimal(18,2)) end) as double) c from {TXO} group by 1) where p > 0 and c is not null order by 2 desc, 1""")
+def drift_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return A.drift_in_order(A.category_drift(T.order_transactions(spark, d), "1998-01-01"))
+
+
+@query(f"select user_id, balance, balance < -500000.0 overspent from (select user_id, cast(sum(cast(price as decimal(18,2))) as double) balance from {TXO} group by 1)")
+def balance_overspent(spark: SparkSession, d: str) -> DataFrame:
+    tx = T.order_transactions(spark, d).select("user_id", "tx_id", "price").withColumn("load_order", F.lit(1))
+    return A.overspent(A.balance(tx, USER), 500_000.0)
+
+
 # --- budgets --------------------------------------------------------------------------------------
 
 
@@ -305,8 +347,32 @@ def daily_expense_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def budget_breach_mc(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated per user; a fixed seed, no SQL."""
-    return B.breach(B.daily_expense_stats(T.event_transactions(spark, d)), 5000.0, 30, 200)
+    """Simulated for each user, also those without expenses; a fixed seed, no SQL."""
+    tx = T.event_transactions(spark, d)
+    stats = tx.select("user_id").distinct().join(B.daily_expense_stats(tx), "user_id", "left")
+    return B.breach(stats, 5000.0, 30)
+
+
+_OLD_NEW = f"(select *, row_number() over (partition by new_id order by budget_id) rn from (select n.budget_id new_id, n.amount na, n.start_date ns, n.end_date ne, b.budget_id from {_NEW} n join {BUD} b on b.user_id = n.user_id and b.category = n.category and (n.end_date is null or b.start_date <= n.end_date) and (b.end_date is null or b.end_date >= n.start_date)))"
+
+
+@query(f"""with m as (select * from {_OLD_NEW} where rn = 1) select b.budget_id, b.user_id, b.category, coalesce(m.na, b.amount) amount, strftime(coalesce(m.ns, b.start_date), '%Y-%m-%d') start_day, case when m.new_id is null then strftime(b.end_date, '%Y-%m-%d') end end_day from {BUD} b left join m using (budget_id)
+union all select budget_id, user_id, category, amount, strftime(start_date, '%Y-%m-%d'), null from {_NEW} where budget_id not in (select new_id from m)""")
+def budget_upsert(spark: SparkSession, d: str) -> DataFrame:
+    x = writers.upsert_budgets(T.customer_budgets(spark, d), _new_budgets(spark, d))
+    return x.select("budget_id", "user_id", "category", "amount", periods.day_key(F.col("start_date")).alias("start_day"), periods.day_key(F.col("end_date")).alias("end_day"))
+
+
+@query(f"select budget_id, amount, created_at from (select budget_id, amount, start_date + to_days(cast(budget_id % 50 as integer)) created_at from {BUD} where user_id % 2 = 0) order by created_at desc, budget_id")
+def budgets_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    own = T.customer_budgets(spark, d).where("user_id % 2 = 0").withColumn("created_at", F.expr("start_date + make_dt_interval(cast(budget_id % 50 as int))"))
+    return T.newest_first(own).select("budget_id", "amount", "created_at")
+
+
+@query(f"select user_id, round(spent / greatest(floor((epoch_us(b) - epoch_us(a)) / 86400000000), 1), 6) daily_rate from (select user_id, {TOT} spent, min(ts) a, max(ts) b from {TXE} group by 1)")
+def period_daily_rate(spark: SparkSession, d: str) -> DataFrame:
+    x = T.event_transactions(spark, d).groupBy("user_id").agg(A.total_of(F.abs("price")).alias("spent"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return x.select("user_id", F.round(F.col("spent") / periods.period_days(F.col("b"), F.col("a")), 6).alias("daily_rate"))
 
 
 # --- loans and interest ---------------------------------------------------------------------------
@@ -322,6 +388,14 @@ def emi_quote(spark: SparkSession, d: str) -> DataFrame:
     return T.lineitem_loans(spark, d).select("order_id", "line", finance.quote(F.col("principal"), F.col("rate_pct"), F.col("months")).alias("emi"))
 
 
+@query(f"""select order_id, line, case when err is null then {r2('e')} end emi, err error_code, err is null or err = 'InvalidEmi' valid, round(case when rate_pct = 0 or months = 0 then 0.0 else e end, 4) form_emi from
+(select *, case when principal <= 0 then 'InvalidPrincipal' when rate_pct <= 0 then 'InvalidRate' when months <= 0 then 'InvalidTenure' end err, {EMI} e from {LOANS})""")
+def emi_strict(spark: SparkSession, d: str) -> DataFrame:
+    p, r, m = F.col("principal"), F.col("rate_pct"), F.col("months")
+    error = finance.emi_error(p, r, m)
+    return T.lineitem_loans(spark, d).select("order_id", "line", F.when(error.isNull(), finance.quote(p, r, m)).alias("emi"), error.alias("error_code"), finance.valid_emi_input(p, r, m).alias("valid"), F.round(finance.emi_or_zero(p, r, m), 4).alias("form_emi"))
+
+
 @query(f"select order_id, line, emi, {r2('emi * months')} payable, {r2('emi * months - principal')} interest from (select *, {r2(EMI)} emi from {LOANS})")
 def loan_totals(spark: SparkSession, d: str) -> DataFrame:
     x = T.lineitem_loans(spark, d).withColumn("emi", finance.quote(F.col("principal"), F.col("rate_pct"), F.col("months")))
@@ -369,21 +443,32 @@ def emi_pressure(spark: SparkSession, d: str) -> DataFrame:
     return B.emi_pressure(T.lineitem_loans(spark, d).join(owners, "order_id"), T.order_transactions(spark, d))
 
 
-_REQ = "(select c_custkey req_id, c_custkey user_id, case when c_custkey % 4 = 1 then '1-URGENT' else '3-MEDIUM' end category, abs(c_acctbal) * 20 principal, 12.0 rate_pct, 24 as months from customer where c_custkey % 7 <> 0)"
+_REQ = "(select c_custkey req_id, c_custkey user_id, case when c_custkey % 4 = 1 then '1-URGENT' else '3-MEDIUM' end category, abs(c_acctbal) * 20 principal, 12.0 rate_pct, 24 as months from customer)"
 _REQ_EMI = emi_sql("floor(principal * 100 + 0.5)", "rate_pct", "months")
 
 
 @query(f"""with b as (select * from {BUD} where start_date <= timestamp '{BUDGETS_NOW}' and (end_date is null or end_date >= timestamp '{BUDGETS_NOW}')),
 s as (select b.budget_id, coalesce(cast(sum(cast(-t.price as decimal(18,2))) as double), 0.0) spent from b left join {TXO} t on t.user_id = b.user_id and t.price < 0 and t.ts between b.start_date and coalesce(b.end_date, timestamp '{BUDGETS_NOW}') and (b.category = 'Overall' or b.category = t.category) group by 1),
-q as (select r.req_id, {_REQ_EMI} emi, coalesce(b1.budget_id, b2.budget_id) budget_id, cast(floor(coalesce(b1.amount, b2.amount) * 100 + 0.5) as bigint) lim from {_REQ} r left join b b1 on b1.user_id = r.user_id and b1.category = r.category left join b b2 on b2.user_id = r.user_id and b2.category = 'Overall'),
-p as (select q.*, emi + cast(floor(coalesce(spent, 0.0) * 100 + 0.5) as bigint) ps from q left join s using (budget_id)),
+q as (select r.req_id, r.months, {_REQ_EMI} emi, coalesce(b1.budget_id, b2.budget_id) budget_id, cast(floor(coalesce(b1.amount, b2.amount) * 100 + 0.5) as bigint) lim from {_REQ} r left join b b1 on b1.user_id = r.user_id and b1.category = r.category left join b b2 on b2.user_id = r.user_id and b2.category = 'Overall'),
+p as (select q.*, emi * months + cast(floor(coalesce(spent, 0.0) * 100 + 0.5) as bigint) ps from q left join s using (budget_id)),
 u as (select *, case when lim > 0 then ps / cast(lim as double) * 100 else 100.0 end u from p)
 select req_id, emi / 100 emi, budget_id is null or ps <= lim affordable, case when budget_id is not null then greatest(lim - ps, 0) / 100 end remaining, case when budget_id is not null then round(u, 4) end usage_pct,
 case when budget_id is null then 'NO_BUDGET_DEFINED' when u >= 100 then 'BUDGET_EXCEEDED' when u >= 80 then 'BUDGET_NEAR_LIMIT' else 'SAFE' end warning from u""")
 def emi_affordability(spark: SparkSession, d: str) -> DataFrame:
+    return B.affordability(_requests(spark, d), T.customer_budgets(spark, d), T.order_transactions(spark, d), BUDGETS_NOW)
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")
-    requests = T.table(spark, d, "customer").where("c_custkey % 7 <> 0").select(key.alias("req_id"), key.alias("user_id"), F.when(key % 4 == 1, "1-URGENT").otherwise("3-MEDIUM").alias("category"), (F.abs("c_acctbal") * 20).alias("principal"), F.lit(12.0).alias("rate_pct"), F.lit(24).alias("months"))
-    return B.affordability(requests, T.customer_budgets(spark, d), T.order_transactions(spark, d), BUDGETS_NOW)
+    return T.table(spark, d, "customer").select(key.alias("req_id"), key.alias("user_id"), F.when(key % 4 == 1, " 1-URGENT ").otherwise("3-MEDIUM").alias("category"), (F.abs("c_acctbal") * 20).alias("principal"), F.lit(12.0).alias("rate_pct"), F.lit(24).alias("months"))
+
+
+@query(f"select req_id user_id, -({_REQ_EMI}) / 100 price, trim(category) category, rate_pct annual_rate, cast(months as bigint) tenure_months from {_REQ} where req_id in (select req_id from ({SQL['emi_affordability']}) where affordable)")
+def emi_expense_rows(spark: SparkSession, d: str) -> DataFrame:
+    requests = _requests(spark, d)
+    verdicts = B.affordability(requests, T.customer_budgets(spark, d), T.order_transactions(spark, d), BUDGETS_NOW)
+    rows = B.emi_rows(requests.withColumn("category", F.trim("category")), verdicts, BUDGETS_NOW)
+    return rows.select("user_id", "price", "category", "emi_meta.annual_rate", F.col("emi_meta.tenure_months").cast("bigint").alias("tenure_months"))
 
 
 @query(f"select tx_id, round(case when tenure = 12 then 0.0 else (12 - tenure) * 100.0 / 12 end, 6) progress_pct from {TPL} where has_meta")
@@ -416,6 +501,21 @@ def recurring_templates_next(spark: SparkSession, d: str) -> DataFrame:
     return R.next_templates(T.order_templates(spark, d), ORDERS_NOW).drop("last_generated_at")
 
 
+@query(f"""with due as (select tx_id from {_DUE}) select tx_id, case when tx_id in (select tx_id from due) then strftime({_N}, '%Y-%m-%d') else strftime(last_generated_at, '%Y-%m-%d') end last_day,
+case when has_meta then case when tx_id in (select tx_id from due) then greatest(tenure - 1, 0) else tenure end end tenure_months,
+not (tx_id in (select tx_id from due) and has_meta and tenure <= 1) is_recurring, case when not (tx_id in (select tx_id from due) and has_meta and tenure <= 1) then recurring_frequency end recurring_frequency from {TPL}""")
+def recurring_templates_all(spark: SparkSession, d: str) -> DataFrame:
+    x = R.updated_templates(T.order_templates(spark, d), ORDERS_NOW)
+    return x.select("tx_id", periods.day_key(F.col("last_generated_at")).alias("last_day"), "tenure_months", "is_recurring", "recurring_frequency")
+
+
+@query(f"select user_id, strftime(ts, '%Y-%m-%d') as \"day\", price, category, false is_recurring from {TXO} union all select user_id, strftime({_N}, '%Y-%m-%d'), price, category, false from {_DUE}")
+def recurring_history(spark: SparkSession, d: str) -> DataFrame:
+    history = T.order_transactions(spark, d).select("user_id", "ts", "price", "category", F.lit(False).alias("is_recurring"))
+    x = R.extended_history(history, T.order_templates(spark, d), ORDERS_NOW)
+    return x.select("user_id", periods.day_key(F.col("ts")).alias("day"), "price", "category", "is_recurring")
+
+
 _FLOW = f"""(with t as (select price, epoch_us(ts) s, case recurring_frequency when 'Daily' then 1 when 'Weekly' then 7 when 'Monthly' then 30 end step from {TPL}),
 n as (select epoch_us({_N}) now), k as (select price, s, coalesce(step, 1) * 86400000000 w, case when step is null then 0 else cast(greatest(ceil((now - s) / (step * 86400000000.0)), 0) as bigint) end k0,
  case when step is null then 0 else cast(floor((now + 90 * 86400000000 - s) / (step * 86400000000.0)) as bigint) end k1 from t, n)
@@ -475,6 +575,19 @@ def plan_investment(spark: SparkSession, d: str) -> DataFrame:
     return P.plan_investment(_incomes(spark, d), presets.rules(spark, presets.INVESTMENT))
 
 
+_SPLIT = "(values " + ", ".join(f"('{p}', '{k}', '{a}', {x})" for p, k, a, x in presets.ASSETS) + ") s(profile, key, asset, pct)"
+
+
+@query(f"select id, profile, key, asset, round(p.amount * pct / 100, 4) amount from ({SQL['plan_investment']}) p join {_SPLIT} using (profile, key) where p.error_code is null")
+def plan_investment_assets(spark: SparkSession, d: str) -> DataFrame:
+    return P.assets(P.plan_investment(_incomes(spark, d), presets.rules(spark, presets.INVESTMENT)), presets.asset_split(spark))
+
+
+@query("select profile, sum(rate) target from (values " + ", ".join(f"('{p}', {r})" for p, rs in presets.TAX.items() for _, r, _, _ in rs) + ") t(profile, rate) group by 1")
+def stat_tax_target(spark: SparkSession, d: str) -> DataFrame:
+    return S.tax_targets(presets.tax_rules(spark))
+
+
 @query("select c_custkey id, domain, case when c_acctbal >= 0 then round(c_acctbal * rate / 100, 4) end tax, case when c_acctbal < 0 then 'InvalidAmount' end error_code from customer, (values ('Income', 10.0), ('CapitalGains', 15.0), ('Insurance', 5.0)) t(domain, rate)")
 def tax_by_domain(spark: SparkSession, d: str) -> DataFrame:
     return L.tax_by_domain(_incomes(spark, d), presets.tax_rules(spark))
@@ -497,12 +610,7 @@ def loan_assessment(spark: SparkSession, d: str) -> DataFrame:
     base = T.table(spark, d, "customer").select(
         key.alias("req_id"), (F.abs("c_acctbal") * 10).alias("monthly_income"), (key % 1000).cast("double").alias("existing_emi"), F.abs("c_acctbal").alias("requested_emi"), (600 + key % 301).alias("credit_score"), purpose.alias("purpose"), (key % 2 == 0).alias("is_joint")
     )
-    out = None
-    for p, (most, surplus, _, joint) in presets.EMI_POLICY.items():
-        bus, per = presets.LOAN_POLICY[p]
-        own = L.assess_loans(base.withColumns({"max_emi_percent": F.lit(most), "min_surplus_percent": F.lit(surplus), "joint_borrowers": F.lit(joint), "allow_business": F.lit(bus), "allow_personal": F.lit(per)})).withColumn("policy", F.lit(p))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return L.assess_loans(L.by_policy(base, presets.emi_policies(spark)), ("policy",))
 
 
 @query("select c_custkey id, case when c_acctbal >= 0 then round(c_acctbal * 12 * 1.2, 4) end fund, case when c_acctbal < 0 then 'NegativeExpense' end error_code from customer")

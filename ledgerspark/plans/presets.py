@@ -22,6 +22,11 @@ INVESTMENT = {
     "growing_family_balanced": [("ChildEducation", 15, 25, 10), ("HomePurchase", 10, 20, 9), ("Retirement", 25, 40, 8)],
     "retiree_income_focused": [("IncomeGeneration", 50, 70, 10), ("HealthcareContingency", 10, 20, 9), ("LegacyPlanning", 5, 15, 7)],
 }
+# Assets of goals: (profile, goal, asset, %).
+ASSETS = [
+    ("young_professional_high_growth", "EmergencyBuffer", "Cash", 100.0), ("young_professional_high_growth", "WealthGrowth", "Equity", 80.0), ("young_professional_high_growth", "WealthGrowth", "Debt", 20.0),
+    ("young_professional_high_growth", "Retirement", "Equity", 70.0), ("young_professional_high_growth", "Retirement", "Debt", 30.0),
+]
 # (domain, rate %, base, priority)
 TAX = {
     "simple_income_tax": [("Income", 10.0, "PercentageOfIncome", 10)],
@@ -58,6 +63,16 @@ def tax_rules(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame([(p, i, d, r, b, None, n, True) for p, rs in TAX.items() if not names or p in names for i, (d, r, b, n) in enumerate(rs)], TAX_RULES)
 
 
+def asset_split(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASSETS, "profile string, key string, asset string, asset_percent double")
+
+
+def emi_policies(spark: SparkSession) -> DataFrame:
+    """The policies of loans as a small table."""
+    rows = [(p, most, surplus, joint, *LOAN_POLICY[p]) for p, (most, surplus, _, joint) in EMI_POLICY.items()]
+    return spark.createDataFrame(rows, "policy string, max_emi_percent double, min_surplus_percent double, joint_borrowers boolean, allow_business boolean, allow_personal boolean")
+
+
 def rural(table: DataFrame) -> DataFrame:
     """Five more percent at most for transportation."""
     from pyspark.sql import functions as F

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.amounts import MOST
+
 TRANSACTIONS = (
     "tx_id bigint, user_id bigint, ts timestamp, price double, category string, name string, description string, "
     "is_recurring boolean, recurring_frequency string, last_generated_at timestamp, "
@@ -25,9 +27,9 @@ def with_defaults(raw: DataFrame) -> DataFrame:
 
 
 def reject_reason(required: tuple[str, ...] = ("tx_id", "user_id", "ts", "price")) -> Column:
-    """Why a transaction can't be stored; null if it can. NaN and infinite prices are invalid."""
+    """Why a transaction can't be stored; null if it can. NaN, infinite and huge prices are invalid."""
     out = F.when(F.col("is_recurring") & ~F.coalesce(F.col("recurring_frequency").isin(*FREQUENCIES), F.lit(False)), F.lit("bad_frequency"))
-    out = out.when(F.isnan("price") | (F.abs("price") == F.lit(float("inf"))), F.lit("bad_price"))
+    out = out.when(~(F.abs("price") < MOST), F.lit("bad_price"))
     for c in required:
         out = out.when(F.col(c).isNull(), F.lit(f"missing_{c}"))
     return out
@@ -39,6 +41,27 @@ def validate_transactions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def owned(df: DataFrame, key: int, owner: int, id_column: str = "tx_id") -> DataFrame:
+    """The row of an id, if it is the owner's."""
+    return df.where((F.col(id_column) == key) & (F.col("user_id") == owner))
+
+
+def newest_first(budgets: DataFrame) -> DataFrame:
+    """Budgets by creation, the newest first; equal times by id."""
+    return budgets.orderBy(F.desc("created_at"), "budget_id")
+
+
+def receipts(tx: DataFrame) -> DataFrame:
+    """What a receipt shows of each transaction: its kind, magnitude with two decimals, date and texts."""
+    kind = F.when(F.col("price") > 0, "Income").otherwise("Expense")
+    return tx.select("tx_id", "user_id", kind.alias("kind"), F.format_string("₹%.2f", F.abs("price")).alias("amount"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "category", F.coalesce("description", F.lit("")).alias("description"))
+
+
+def feedback_error(fields: tuple[str, ...] = ("name", "email", "message")) -> Column:
+    """The first required field that is missing or blank; null if none is."""
+    return F.coalesce(*[F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(f"missing_{c}")) for c in fields])
+
+
 def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-grained transactions from orders: open orders are income."""
     return table(spark, sf_dir, "orders").select(

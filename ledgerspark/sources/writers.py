@@ -17,6 +17,22 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "tx_id", owner: st
     return kept.unionByName(changes.join(foreign, key, "left_anti"))
 
 
+def upsert_budgets(current: DataFrame, new: DataFrame) -> DataFrame:
+    """A new budget that meets one of its user and category in time replaces that one's amount and times, else it is added.
+
+    Of several that it meets the one with the least budget_id changes; of several new ones that meet the same, the one with the
+    greatest budget_id counts.
+    """
+    fields = ["amount", "start_date", "end_date"]
+    b, n = current.alias("b"), new.alias("n")
+    meets = (F.col("n.end_date").isNull() | (F.col("b.start_date") <= F.col("n.end_date"))) & (F.col("b.end_date").isNull() | (F.col("b.end_date") >= F.col("n.start_date")))
+    same = (F.col("n.user_id") == F.col("b.user_id")) & (F.col("n.category") == F.col("b.category"))
+    met = n.join(b, same & meets).groupBy(F.col("n.budget_id").alias("new_id")).agg(F.min("b.budget_id").alias("budget_id"), F.first(F.struct(*[f"n.{c}" for c in fields])).alias("to"))
+    changes = met.groupBy("budget_id").agg(F.max_by("to", "new_id").alias("to"))
+    kept = current.join(changes, "budget_id", "left").select(*[F.when(F.col("to").isNotNull(), F.col(f"to.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in current.columns])
+    return kept.unionByName(new.join(met.select(F.col("new_id").alias("budget_id")), "budget_id", "left_anti").select(*current.columns))
+
+
 def delete(current: DataFrame, gone: DataFrame, key: str = "tx_id", owner: str = "user_id") -> DataFrame:
     return current.join(gone.select(key, owner), [key, owner], "left_anti")
 
