@@ -463,7 +463,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "customer").select(key.alias("req_id"), key.alias("user_id"), F.when(key % 4 == 1, " 1-URGENT ").otherwise("3-MEDIUM").alias("category"), (F.abs("c_acctbal") * 20).alias("principal"), F.lit(12.0).alias("rate_pct"), F.lit(24).alias("months"))
 
 
-@query(f"select req_id user_id, -({_REQ_EMI}) / 100 price, trim(category) category, rate_pct annual_rate, cast(months as bigint) tenure_months from {_REQ} where req_id in (select req_id from ({SQL['emi_affordability']}) where affordable)")
+@query(f"select req_id user_id, -({_REQ_EMI}) / 100 price, trim(category) category, cast(rate_pct as double) annual_rate, cast(months as bigint) tenure_months from {_REQ} where req_id in (select req_id from ({SQL['emi_affordability']}) where affordable)")
 def emi_expense_rows(spark: SparkSession, d: str) -> DataFrame:
     requests = _requests(spark, d)
     verdicts = B.affordability(requests, T.customer_budgets(spark, d), T.order_transactions(spark, d), BUDGETS_NOW)
@@ -583,7 +583,7 @@ def plan_investment_assets(spark: SparkSession, d: str) -> DataFrame:
     return P.assets(P.plan_investment(_incomes(spark, d), presets.rules(spark, presets.INVESTMENT)), presets.asset_split(spark))
 
 
-@query("select profile, sum(rate) target from (values " + ", ".join(f"('{p}', {r})" for p, rs in presets.TAX.items() for _, r, _, _ in rs) + ") t(profile, rate) group by 1")
+@query("select profile, cast(sum(rate) as double) target from (values " + ", ".join(f"('{p}', {r})" for p, rs in presets.TAX.items() for _, r, _, _ in rs) + ") t(profile, rate) group by 1")
 def stat_tax_target(spark: SparkSession, d: str) -> DataFrame:
     return S.tax_targets(presets.tax_rules(spark))
 
