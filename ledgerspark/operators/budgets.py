@@ -90,27 +90,22 @@ def breach(stats: DataFrame, budget: float, horizon: int, simulations: int = 200
     """Monte-Carlo of daily spend over the horizon: probability of a breach, expected spend, median first day of breach.
 
     stats: mean and std of each `user_id`, null without expenses, which gives 0, 0 and no day. Draws are normal by hashes of
-    (user, simulation, day, seed), so that a seed gives the same result on any cluster. Sampling is the feature. The days
-    of a run are added up within its row, and runs are summed where their user's row lies.
+    (user, simulation, day, seed), so that a seed gives the same result on any cluster. Sampling is the feature. Days and
+    runs are added up where their user's row lies.
     """
-    def uniform(day: int, label: int) -> Column:
-        return (F.pmod(F.xxhash64("user_id", "sim", F.lit(day), F.lit(seed), F.lit(label)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    def uniform(label: int) -> Column:
+        return (F.pmod(F.xxhash64("user_id", "sim", "day", F.lit(seed), F.lit(label)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
 
-    def spend(day: int) -> Column:
-        normal = F.sqrt(-2 * F.log(uniform(day, 1))) * F.cos(2 * F.pi() * uniform(day, 2))
-        return F.greatest(F.col("mean") + F.col("std") * normal, F.lit(0.0))
-
-    def step(s: Column, x: Column) -> Column:
-        total = s["total"] + x
-        return F.struct(total.alias("total"), (s["day"] + 1).alias("day"), F.when(s["first"].isNull() & (total > budget), s["day"]).otherwise(s["first"]).alias("first"))
-
-    # Users are few rows, their runs are many: dealt out by a fixed number, which adaptive execution doesn't merge.
+    # Users are few rows, their runs are many: dealt out once, by a fixed number that adaptive execution doesn't
+    # merge. All that follows is by user, so that no expanded row is shuffled.
     dealt = stats.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
     sims = dealt.select("user_id", "mean", "std", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    drawn = sims.select("user_id", "mean", F.array(*[spend(day) for day in range(max(horizon, 1))]).alias("days"))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("day"), F.lit(None).cast("int").alias("first"))
-    run = F.when(F.col("mean").isNotNull(), F.aggregate("days", start, step))
-    each = drawn.select("user_id", run.alias("r")).select("user_id", F.coalesce("r.total", F.lit(0.0)).alias("spent"), F.col("r.first").alias("first"))
+    drawn = sims.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(horizon, 1) - 1))).alias("day"))
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    spend = drawn.select("user_id", "sim", "day", F.when(F.col("mean").isNull(), 0.0).otherwise(F.greatest(F.col("mean") + F.col("std") * normal, F.lit(0.0))).alias("x"))
+    order = Window.partitionBy("user_id", "sim").orderBy("day")
+    total = spend.withColumn("cum", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = total.groupBy("user_id", "sim").agg(F.max("cum").alias("spent"), F.min(F.when(F.col("cum") > budget, F.col("day"))).alias("first"))
     hits = F.sort_array(F.collect_list("first"))  # at most one for each run
     return each.groupBy("user_id").agg(F.avg((F.col("spent") > budget).cast("double")).alias("breach_probability"), F.avg("spent").alias("expected_spend"), F.get(hits, F.floor(F.size(hits) / 2).cast("int")).alias("p50_days_to_breach"))
 
