@@ -1,7 +1,13 @@
 """Corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
-DataFrame; all but the last return the columns of documents.
+DataFrame; all but the last return the columns of documents, whatever they are named: results never clash with them.
+
+Edge cases: language ID drops null and empty texts and those without a letter, and whatever no centroid comes near. The later stages
+keep such rows: null and empty texts have no lines, links, windows or tokens. Very long texts are worked on
+whole. Repeated rows get the same decision; of equal texts line dedup keeps the one with the least doc_id (a tie keeps both), and
+short ones are left to the Jaccard join. Rows without doc_id count as the last and are never dropped as duplicates. Empty
+tables give empty ones.
 """
 
 from __future__ import annotations

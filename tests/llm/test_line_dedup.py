@@ -98,3 +98,39 @@ def test_texts_that_share_an_id_are_told_apart(spark):
         assert sum(own(3, 4) in t for t in got) == sum(own(4, 4) in t for t in got) == 1
         assert sum(own(9, 5) in t for t in got) == 1
         assert sum(PASSAGE in t for t in got) == 1
+
+
+def test_pieces_of_a_run_in_several_earlier_texts(spark):
+    """A run of 12 lines of which earlier texts hold pieces is found whole, whichever text comes first."""
+    lines = [f"Line {k} of the run that two texts share." for k in range(12)]
+    pieces = ["\n".join([f"Own start {k}.", *lines[k : k + 4], f"Own end {k}."]) for k in (0, 3, 6, 8)]
+    texts = [*pieces, *["\n".join([f"Begin {k}.", *lines, f"End {k}."]) for k in (20, 21)]]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[5].split() == "Begin 21. End 21.".split()
+    assert got[0] == texts[0]
+
+
+def test_many_short_lines_and_blank_ones(spark):
+    """Windows of more lines than are looked at beside each other, blank lines and control characters."""
+    verse = [f"w{k}" for k in range(90)]
+    texts = ["\n".join(["first of all", *verse]), "\n\n".join([*verse[5:85], "a tail of its own"]), "\x01 head\x02\n" + "\n".join(verse[:80]) + "\nlast\x01"]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0]
+    assert got[1].split() == ["a", "tail", "of", "its", "own"]
+    assert got[2] == "\x01 head\x02\nlast\x01"
+
+
+def test_keys_with_many_rows(spark):
+    """A passage, and a text, that most rows have: joined apart from the others, with the same result."""
+    texts = [own(1000) + "\n" + PASSAGE] + [PASSAGE + f"\nTail {i}." for i in range(60)] + [own(7)] * 60
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0]
+    assert all(got[i].strip() == f"Tail {i - 1}." for i in range(1, 61))
+    assert [got[i] for i in range(61, 121)] == [own(7)] + [""] * 59
+
+
+def test_columns_that_clash(spark):
+    docs = docs_of(spark, [own(1), own(1)]).selectExpr("*", "'mine' as n_lines", "'t' as t1", "1 as runs")
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "_n_lines", "n_removed", "emptied"]
+    assert [(r["n_lines"], r["t1"], r["runs"], r["emptied"]) for r in got.orderBy("doc_id").collect()] == [("mine", "t", 1, False), ("mine", "t", 1, True)]

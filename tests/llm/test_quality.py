@@ -39,3 +39,40 @@ def test_awkward_rows(spark):
     docs = awkward(spark)
     assert quality.classify(docs, quality.fit(docs)).count() == 12
     assert quality.classify(empty(spark), quality.fit(empty(spark))).count() == 0
+
+
+def test_estimate_against_plain_em():
+    """Rates and prior of a small table of votes, by the same steps over single documents."""
+    import numpy as np
+
+    from ledgerspark.llm.quality import BAD, GOOD, NAMES, NONE, estimate
+
+    rng = np.random.default_rng(3)
+    rows = ["".join(str(rng.choice([GOOD, BAD, NONE], p=(0.6, 0.2, 0.2) if i % 3 else (0.2, 0.6, 0.2))) for _ in NAMES) for i in range(60)]
+    counts = {r: rows.count(r) for r in set(rows)}
+    model = estimate(counts, rounds=5)
+    good = [0.1 if str(BAD) in r else 0.95 for r in rows]
+    for _ in range(5):
+        prior = min(max((sum(good) + 2) / (len(rows) + 4), 0.02), 0.98)
+        rates = {}
+        for j in range(len(NAMES)):
+            for y in (BAD, GOOD):
+                seen = {v: 1.0 + sum((g if y == GOOD else 1 - g) for r, g in zip(rows, good, strict=True) if r[j] == str(v)) for v in (BAD, GOOD)}
+                rates[j, y] = seen[BAD] / sum(seen.values())
+            rates[j, GOOD] = min(rates[j, BAD], rates[j, GOOD])
+        new = []
+        for r in rows:
+            odds = prior / (1 - prior)
+            for j, v in enumerate(r):
+                if v == str(BAD):
+                    odds *= rates[j, GOOD] / rates[j, BAD]
+                if v == str(GOOD):
+                    odds *= (1 - rates[j, GOOD]) / (1 - rates[j, BAD])
+            new.append(odds / (1 + odds))
+        if max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9:
+            break
+        good = new
+    assert abs(model.prior - prior) < 1e-9
+    for j in range(len(NAMES)):
+        assert abs(model.rates[j, BAD, BAD] - rates[j, BAD]) < 1e-9
+        assert abs(model.rates[j, GOOD, BAD] - rates[j, GOOD]) < 1e-9
