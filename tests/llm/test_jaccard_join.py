@@ -75,3 +75,17 @@ def test_awkward_rows(spark):
     assert [r["component_id"] for r in got if r["doc_id"] == 4] == [4, 4]
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
     assert jaccard_components(empty(spark)).count() == 0
+
+
+def test_tree_prunes():
+    """Of sets of spread sizes the tree leaves few candidates; without near copies nearly none."""
+    import numpy as np
+
+    from ledgerspark.llm.jaccard_join import GROUPS, CountVectorRTree
+
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(100, 600, 2000)
+    points = np.stack([np.bincount(rng.integers(0, GROUPS, n), minlength=GROUPS) for n in sizes]).astype(np.int32)
+    tree = CountVectorRTree(points)
+    left = [len(tree.search(p)) - 1 for p in points[:200]]
+    assert sum(left) < 0.03 * 200 * len(points)

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from ledgerspark.llm import quality
 from ledgerspark.llm.common import documents
 from tests.llm.helpers import awkward, empty
@@ -76,3 +78,15 @@ def test_estimate_against_plain_em():
     for j in range(len(NAMES)):
         assert abs(model.rates[j, BAD, BAD] - rates[j, BAD]) < 1e-9
         assert abs(model.rates[j, GOOD, BAD] - rates[j, GOOD]) < 1e-9
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """The head is trained on the labels of even doc_ids and judged on those of odd ones."""
+    docs = documents(spark, DATA)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.classify(docs, model).select("doc_id", "toxic").join(labels.select("doc_id", F.col("toxic").alias("t")).where("doc_id % 2 = 1"), "doc_id").collect()
+    marked = [r["toxic"] for r in got if r["t"] == 1]
+    assert sum(marked) / len(marked) > 0.6
+    clean = [r["toxic"] for r in got if r["t"] == 0]
+    assert sum(clean) / len(clean) < 0.02
