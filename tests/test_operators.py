@@ -181,3 +181,58 @@ def test_tools(spark):
     assert got[8][0] == {"score": 0.0}
     assert got[9][0] == {"emergency_fund": 120000.0}
     assert got[10][0] == {"Essentials": 55000.0, "FinancialStability": 30000.0, "Lifestyle": 15000.0}
+
+
+def test_affordability_takes_all_instalments(spark):
+    """The known budget cases: 10 instalments of 5000, 7000 and 12000 on budgets of 100000 with some spent already."""
+    from ledgerspark.functions import finance
+    from ledgerspark.operators import budgets
+
+    rows = spark.createDataFrame([(5000, 10000), (7000, 20000), (12000, 30000)], "emi long, spent long")
+    u = finance.usage_pct(finance.projected_spend(F.col("emi"), F.lit(10), F.col("spent")), F.lit(100_000).cast("bigint"))
+    assert [r[0] for r in rows.orderBy("emi").select(finance.usage_flag(u)).collect()] == [0, 1, 2]
+    requests = spark.createDataFrame([(1, 7, "  ", 12000.0, 0.0, 12), (2, 7, "Food", 12000.0, 0.0, 12), (3, 8, None, 1.0, 0.0, 1)], "req_id int, user_id int, category string, principal double, rate_pct double, months int")
+    own = spark.createDataFrame([(1, 7, "Overall", 20000.0)], "budget_id int, user_id int, category string, amount double").withColumns({"start_date": F.lit("2024-01-01").cast("timestamp_ntz"), "end_date": F.lit(None).cast("timestamp_ntz")})
+    tx = spark.createDataFrame([(1, 7, -3000.0, "Food")], "tx_id int, user_id int, price double, category string").withColumn("ts", F.lit("2024-01-05").cast("timestamp_ntz"))
+    got = {r["req_id"]: r for r in budgets.affordability(requests, own, tx, "2024-02-01 00:00:00").collect()}
+    assert [(got[i]["emi"], got[i]["remaining"], got[i]["usage_pct"], got[i]["warning"]) for i in (1, 2)] == [(1000.0, 5000.0, 75.0, "SAFE")] * 2
+    assert (got[3]["affordable"], got[3]["warning"]) == (True, "NO_BUDGET_DEFINED")
+
+
+def test_prices_that_are_no_amounts(spark):
+    """Infinite, NaN and huge prices count 0, and fail nothing; validation names them."""
+    from ledgerspark.operators import analytics
+
+    odd = [float("inf"), float("-inf"), float("nan"), 1e18]
+    tx = spark.createDataFrame([(i, 1, p) for i, p in enumerate([5.0, -2.0, *odd])], "tx_id int, user_id int, price double").withColumn("ts", F.lit("2024-01-05").cast("timestamp_ntz"))
+    r = analytics.monthly_totals(tx).first()
+    assert (r["income"], r["expense"], r["total"]) == (5.0, 2.0, 7.0)
+
+
+def test_global_median(spark):
+    import random
+    import statistics
+
+    from ledgerspark.operators import analytics
+
+    rng = random.Random(1)
+    for n in (1, 2, 7, 500, 501):
+        values = [rng.choice((rng.uniform(-1e6, 1e6), 3.0, 1e-9 * rng.random())) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert analytics.global_median(df, F.col("x")) == statistics.median(values)
+
+
+def test_cash_flow_within_a_cap(spark):
+    """A minimum above its cap is held to the cap."""
+    rules = spark.createDataFrame([("p", 0, "Essentials", 45.0, 55.0, 10), ("p", 1, "FinancialStability", 25.0, 35.0, 9), ("p", 2, "Lifestyle", 15.0, 10.0, 6)], "profile string, rule_idx int, key string, min_percent double, max_percent double, priority int")
+    got = {r["key"]: r["amount"] for r in planning.plan_cashflow(spark.createDataFrame([(1, 100000.0)], "id int, amount double"), rules).collect()}
+    assert got == {"Essentials": 55000.0, "FinancialStability": 35000.0, "Lifestyle": 10000.0}
+
+
+def test_strict_times(spark):
+    from ledgerspark.functions import periods
+
+    rows = spark.createDataFrame([("2024-01-05",), (None,)], "t string")
+    assert [str(r[0]) for r in rows.select(periods.strict(F.col("t"))).collect()] == ["2024-01-05 00:00:00", "None"]
+    with pytest.raises(Exception, match="not a time"):
+        spark.createDataFrame([("5th of May",)], "t string").select(periods.strict(F.col("t"))).collect()
