@@ -62,9 +62,9 @@ HOT = 1024
 def meet(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
     """rows joined with keys (one row for each key, n: how many of the `total` rows have it), so that no key gathers in one task."""
     bound = max(total // HOT, 1)
-    often = F.broadcast(keys.where(F.col("n") > bound))  # HOT rows at most, since their counts add up to total
-    rest = rows.join(often.select(on), on, "left_anti")
-    return rows.join(often, on).unionByName(rest.join(keys.where(F.col("n") <= bound), on))
+    often = keys.where(F.col("n") > bound)  # HOT rows at most, since their counts add up to total
+    is_often = F.col(on).isin([r[0] for r in often.select(on).collect()])
+    return rows.where(is_often).join(F.broadcast(often), on).unionByName(rows.where(~is_often).join(keys.where(F.col("n") <= bound), on))
 
 
 def free_names(taken: Iterable[str], wanted: Iterable[str]) -> dict[str, str]:
