@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerspark.llm.common import lean
+
 LONG, FRAGMENT, FIRST_WINDOW, CACHE = 2048, 1024, 4, 400_000
 #: Fixed by the tokenizer file: the pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -160,4 +162,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, real: bool = False) -> D
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -22,6 +24,21 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker gives freed memory back: workers stay for later tasks, beside whatever their executor does then."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -121,7 +138,7 @@ def least_hashed(df: DataFrame, most: int, by: str | None = None, column: str =
     narrow = hashed.select(by, "draw")
     kind = pa.string() if dict(narrow.dtypes)[by] == "string" else pa.int32()
     schema = f"`{by}` {dict(narrow.dtypes)[by]}, deal int, draw long"
-    found = narrow.mapInArrow(least, schema).groupBy(by, "deal").applyInArrow(least_of_all, schema)
+    found = narrow.mapInArrow(lean(least), schema).groupBy(by, "deal").applyInArrow(least_of_all, schema)
     draws: dict[object, set[int]] = {}
     for r in found.collect():  # DEALS times `most` for each value at most
         draws.setdefault(r[by], set()).add(r["draw"])

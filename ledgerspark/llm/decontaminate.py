@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import free_names, named, written
+from ledgerspark.llm.common import free_names, lean, named, written
 from ledgerspark.llm.words import ALNUM, words_of
 
 #: Fixed by the contract.
@@ -230,7 +230,7 @@ def _mark(held: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
         if waiting:
             yield from shard(waiting)
 
-    return held.mapInArrow(run, held.schema)
+    return held.mapInArrow(lean(run), held.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:

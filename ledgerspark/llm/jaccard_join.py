@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import local_path, shared_dir, written
+from ledgerspark.llm.common import lean, local_path, shared_dir, written
 from ledgerspark.llm.components import components
 from ledgerspark.llm.lm_scoring import GATHER_TOKENS, gathered, pack, shard_of, summed, texts_in, unpack
 from ledgerspark.llm.words import SOLID, mix, shingles_of, words_of
@@ -153,7 +153,7 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.nd
                 keys, counts = keys[:0], counts[:0]
         yield out()
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "h").limit(most).collect()  # a bounded list
     return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
@@ -191,7 +191,7 @@ def write_sets(docs: DataFrame, folder: str, size: int) -> DataFrame:
             files[x].close()
             os.replace(temporary[x], f"{folder}/{x}{part}")
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, ROWS)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lean(run), ROWS)
 
 
 def prefix_of(own: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -371,7 +371,7 @@ def link_classes(classes: DataFrame, folder: str, percent: int, frequent: np.nda
         ends = distinct[np.array(linker.edges, dtype=np.int64).reshape(-1, 2)] if linker.edges else np.empty((0, 2), np.int64)
         return pa.table({"u": pa.array(store.ids(ends[:, 0])), "v": pa.array(store.ids(ends[:, 1]))})
 
-    dealt = classes.select("place").mapInArrow(deal, "shard int, tokens binary, places binary, place_in_order binary")
+    dealt = classes.select("place").mapInArrow(lean(deal), "shard int, tokens binary, places binary, place_in_order binary")
     return dealt.groupBy("shard").applyInArrow(link, "u long, v long")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ledgerspark.llm.common import free_names, least_hashed, named
+from ledgerspark.llm.common import free_names, lean, least_hashed, named
 from ledgerspark.llm.words import pieces
 
 #: n of the n-grams and the bits of their hash space.
@@ -160,7 +160,7 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], ["gram", "n"])
 
-    counted = train.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = train.select("text").mapInArrow(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     out, docs = np.zeros(SIZE, np.int64), 0
     for gram, n in counted.collect():  # SIZE + 1 rows at most
         if gram < 0:
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 ["lang", "at", "n"],
             )
 
-    rows = drawn.mapInArrow(run, "lang string, at binary, n binary").collect()  # `sample` rows at most
+    rows = drawn.mapInArrow(lean(run), "lang string, at binary, n binary").collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     parts, owner, texts = [], [], []
     for i, lang in enumerate(languages):
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(columns, ["r", "lang_pred", "score", "rejected"])
 
     names = free_names(carried.columns, ("lang_pred", "score", "rejected"))
-    return held.mapInArrow(run, schema).select(*named(carried, "r"), *[F.col(k).alias(v) for k, v in names.items()])
+    return held.mapInArrow(lean(run), schema).select(*named(carried, "r"), *[F.col(k).alias(v) for k, v in names.items()])
 
 
 #: Folds by which documents are held out of the fit.
