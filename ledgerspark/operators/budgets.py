@@ -86,28 +86,40 @@ def daily_expense_stats(tx: DataFrame, by: tuple[str, ...] = ("user_id",)) -> Da
     return days.groupBy(*by).agg(F.count("*").alias("days"), F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(1.0)).alias("std"))
 
 
+#: Days of a simulated run in one generated method: the JVM only interprets methods of more than 8,000 bytes of code.
+DAYS_AT_ONCE = 6
+
+
 def breach(stats: DataFrame, budget: float, horizon: int, simulations: int = 2000, seed: int = 42) -> DataFrame:
     """Monte-Carlo of daily spend over the horizon: probability of a breach, expected spend, median first day of breach.
 
     stats: mean and std of each `user_id`, null without expenses, which gives 0, 0 and no day. Draws are normal by hashes of
-    (user, simulation, day, seed), so that a seed gives the same result on any cluster. Sampling is the feature. Days and
-    runs are added up where their user's row lies.
+    (user, simulation, day, seed), so that a seed gives the same result on any cluster. Sampling is the feature. A run is
+    one row: its days are drawn and added up one after another in generated code, so that no row is sorted, and only
+    counts by user and first day are shuffled.
     """
-    def uniform(label: int) -> Column:
-        return (F.pmod(F.xxhash64("user_id", "sim", "day", F.lit(seed), F.lit(label)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-
-    # Users are few rows, their runs are many: dealt out once, by a fixed number that adaptive execution doesn't
-    # merge. All that follows is by user, so that no expanded row is shuffled.
-    dealt = stats.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
-    sims = dealt.select("user_id", "mean", "std", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    drawn = sims.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(horizon, 1) - 1))).alias("day"))
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-    spend = drawn.select("user_id", "sim", "day", F.when(F.col("mean").isNull(), 0.0).otherwise(F.greatest(F.col("mean") + F.col("std") * normal, F.lit(0.0))).alias("x"))
-    order = Window.partitionBy("user_id", "sim").orderBy("day")
-    total = spend.withColumn("cum", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = total.groupBy("user_id", "sim").agg(F.max("cum").alias("spent"), F.min(F.when(F.col("cum") > budget, F.col("day"))).alias("first"))
-    hits = F.sort_array(F.collect_list("first"))  # at most one for each run
-    return each.groupBy("user_id").agg(F.avg((F.col("spent") > budget).cast("double")).alias("breach_probability"), F.avg("spent").alias("expected_spend"), F.get(hits, F.floor(F.size(hits) / 2).cast("int")).alias("p50_days_to_breach"))
+    def uniform(day: int, label: int) -> str:
+        return f"((pmod(xxhash64(user_id, sim, {day}, {seed}, {label}), {1 << 52}L) + 1) / {(1 << 52) + 1}D)"
+
+    def drawn(day: int) -> str:
+        return f"greatest(mean + std * (sqrt(-2 * ln({uniform(day, 1)})) * cos(2 * pi() * {uniform(day, 2)})), 0D)"
+
+    # Users are few rows, their runs are many: dealt out by a key of their own, since Spark leaves out a repartition by
+    # user_id where the rows lie so already, and then merges the few users into one task.
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stats.select("user_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "std")])
+    dealt = known.repartition(parts, F.xxhash64("user_id", F.lit(seed)))
+    runs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).withColumns({"within": F.lit(0), "spent": F.lit(0.0)})
+    for day in range(max(horizon, 1)):
+        if day and day % DAYS_AT_ONCE == 0:
+            runs = runs.coalesce(parts)  # as many as there are: it merges none and ends the generated method
+        # Spend never falls, so the days that end within the budget are as many as the first day of breach.
+        within = f"within + int(spent <= {float(budget)}D)" if day else "within"
+        runs = runs.selectExpr("user_id", "mean", "std", "sim", f"{within} within", f"spent + {drawn(day)} spent")
+    days = runs.groupBy("user_id", F.when(F.col("spent") > budget, F.col("within")).alias("first")).agg(F.count("*").alias("n"), F.sum("spent").alias("s"))
+    hits = F.sort_array(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", F.col("n").cast("int").alias("n")))))
+    each = days.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.flatten(F.transform(hits, lambda h: F.array_repeat(h["first"], h["n"]))).alias("hits"))
+    return each.select("user_id", (F.size("hits") / F.col("n")).alias("breach_probability"), (F.col("s") / F.col("n")).alias("expected_spend"), F.get("hits", F.floor(F.size("hits") / 2).cast("int")).alias("p50_days_to_breach"))
 
 
 def affordability(requests: DataFrame, budgets: DataFrame, tx: DataFrame, as_of: str) -> DataFrame:

@@ -76,6 +76,32 @@ def test_breach_is_repeatable(spark):
     assert one["expected_spend"] >= 14400
 
 
+def test_breach_against_plain_runs(spark):
+    """The same draws, added up in Python; more than one block of days; nobody's runs are sorted, merged or windowed."""
+    stats = spark.createDataFrame([(1, 100.0, 40.0), (2, 5.0, 90.0), (3, None, None), (4, 300.0, 1.0)], "user_id bigint, mean double, std double")
+    horizon, runs, budget = 2 * budgets.DAYS_AT_ONCE + 3, 21, 1500.0
+    u = "(pmod(xxhash64(user_id, sim, day, 42, {}), 4503599627370496L) + 1) / 4503599627370497D"
+    draws = stats.selectExpr("*", f"explode(sequence(0, {runs - 1})) sim").selectExpr("*", f"explode(sequence(0, {horizon - 1})) day")
+    x = {(r[0], r[1], r[2]): r[3] for r in draws.selectExpr("user_id", "sim", "day", f"greatest(mean + std * (sqrt(-2 * ln({u.format(1)})) * cos(2 * pi() * {u.format(2)})), 0D)").collect()}
+    joined = stats.select("user_id").join(stats, "user_id", "left")
+    got = budgets.breach(joined, budget, horizon, runs)
+    rows = {r["user_id"]: r for r in got.collect()}
+    for user in (1, 2, 3, 4):
+        spent, hits = [], []
+        for sim in range(runs):
+            total, first = 0.0, None
+            for day in range(horizon):
+                total += x[user, sim, day] if user != 3 else 0.0
+                first = day if first is None and total > budget else first
+            spent.append(total)
+            hits += [] if first is None else [first]
+        want = (len(hits) / runs, sum(spent) / runs, sorted(hits)[len(hits) // 2] if hits else None)
+        assert tuple(rows[user][1:]) == pytest.approx(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert "REPARTITION_BY_NUM" in plan.split("Generate")[-1]  # else adaptive execution merges the users into one task
+
+
 def test_pressure_by_month(spark):
     rows = [("2024-01-10", 500000.0, 10.0, 60), ("2024-01-15", 300000.0, 12.0, 48), ("2024-02-10", 200000.0, 8.0, 24)]
     x = spark.createDataFrame(rows, "ts string, principal double, rate_pct double, months int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
